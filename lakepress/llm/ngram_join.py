@@ -38,8 +38,8 @@ from .wordhash import NOT_SPACE, Words, combine, grams, slices
 #: Buckets of the count sketch (a power of two): 4 bytes each in a task, one bit each when sent to all.
 SKETCH_BITS = 22
 CHUNK_BITS = 16
-#: Text hashes that may be broadcast to find candidates' texts again (8 bytes each); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Nodes that may be broadcast to find candidates' texts again (about 100 bytes each); more are shuffled.
+BROADCAST_ROWS = 250_000
 #: Partners of a node that one task gets together with its set.
 SALT_ROWS = 256
 
@@ -191,58 +191,46 @@ def _batch(keys, nodes, sizes, leads, rests) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(rests, pa.int32())], names=["key", "node", "n", "lead", "rest"])
 
 
-def _sets(n: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in batches:
-            for w in slices(b.column("text")):
-                found = [(node_of(s), s.tobytes()) for _, s in token_sets(w, n) if len(s)]
-                found = [x for x in found if x[0] not in seen]
-                if len(seen) < 200_000:
-                    seen.update(x[0] for x in found)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["node", "tokens"])
-
-    return run
-
-
-def _verify(num: int, den: int):
-    """Rows sorted by (a, salt, b): a's own set comes first with b null, then its partners' sets."""
+def _verify(n: int, num: int, den: int):
+    """Rows sorted by (a, salt, b): a's own text comes first with b null, then its partners' texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
             u, v = [], []
-            for a, b, t in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("tokens"), strict=True):
-                s = np.frombuffer(t.as_py(), np.uint64)
-                if b is None:
-                    of, mine = a, s
-                    continue
-                if a != of:
-                    raise AssertionError("a pair without its set")
-                at = np.searchsorted(mine, s)
-                both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum())
-                if den * both >= num * (len(mine) + len(s) - both):
-                    u.append(a)
-                    v.append(b)
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            for w in slices(batch.column("text")):
+                for r, s in token_sets(w, n):
+                    if b[r] is None:
+                        of, mine = a[r], s
+                        continue
+                    if a[r] != of:
+                        raise AssertionError("a pair without its own text")
+                    at = np.searchsorted(mine, s)
+                    both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum())
+                    if den * both >= num * (len(mine) + len(s) - both):
+                        u.append(a[r])
+                        v.append(b[r])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return run
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+    """The pairs (a, b) of nodes whose sets are similar enough.
+
+    Texts travel, not sets: they take less than half of the room. One row stands for each node.
+    """
     pairs = shared.materialize(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = shared.materialize(nodes.join(ends, "node", "left_semi").select("text_hash").distinct(), "wanted")
+    wanted = shared.materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("i")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "text_hash", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(n), "node binary, tokens binary")
-    sets = shared.materialize(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "text")
     salted = pairs.withColumn("salt", ((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / SALT_ROWS).cast("int"))
-    own = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "tokens")
-    other = salted.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "tokens")
+    own = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    other = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
     rows = own.union(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return shared.materialize(rows.mapInArrow(_verify(num, den), "u binary, v binary"), "links")
+    return shared.materialize(rows.mapInArrow(_verify(n, num, den), "u binary, v binary"), "links")
 
 
 def _may_link(num: int, den: int, x: str, y: str):
@@ -263,7 +251,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, chunk int, counts binary"), "scan")
     summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node")
-    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_hash").alias("text_hash"))
+    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
     chunk = 1 << min(CHUNK_BITS, SKETCH_BITS)
     marks = bytearray((1 << SKETCH_BITS) // 8)
     for r in scan.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(_outstanding, "chunk int, marks binary").collect():  # half a megabyte at any size
