@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import relational
+from . import engines, relational
 from .domain import DUCK, SPARK, run_sql, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -17,3 +17,5 @@ def _sql(body: str) -> Callable:
 
 QUERIES |= {k: _sql(b) for k, b in relational.bodies(SPARK).items()}
 ORACLES |= {k: with_views(DUCK, b) for k, b in relational.bodies(DUCK).items()}
+QUERIES |= engines.QUERIES
+ORACLES |= engines.ORACLES
