@@ -8,7 +8,8 @@ tokens of one sub-class are indexed in place of single ones: with p_c tokens of
 no pair with a partner shares at most one token in each sub-class, so the extension goes on until the rare tokens
 and the sum of (p_c - 1) reach the plain prefix length. The sub-classes depend on the set's size, so every set is
 indexed for its size band and the next: sizes of linked sets differ by one band at most. Entries of equal keys give
-candidates, filtered by size and position; exact overlaps of the hashed sets decide.
+candidates, filtered by size, by position and by a parity sketch of the sets (its differing bits are at most the
+tokens that differ, so it drops no link); exact overlaps of the hashed sets decide.
 
 Sets that are equal are one node throughout. Candidates come in two rounds: first each entry with its neighbour in
 its key's order, then only pairs whose nodes the first round's links have not joined yet. So a group of copies does
@@ -38,6 +39,10 @@ from .wordhash import NOT_SPACE, Words, combine, grams, slices
 #: Buckets of the count sketch (a power of two): 4 bytes each in a task, one bit each when sent to all.
 SKETCH_BITS = 22
 CHUNK_BITS = 16
+#: 64-bit words of the parity sketch; it tells sets of up to twice as many tokens as it has bits apart.
+SKETCH_WORDS = 8
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+SCAN = ["doc_id", "text_hash", "n_shingles", "node", "chunk", "counts", *SKETCH]
 #: Nodes that may be broadcast to find candidates' texts again (about 100 bytes each); more are shuffled.
 BROADCAST_ROWS = 250_000
 #: Partners of a node that one task gets together with its set.
@@ -65,6 +70,12 @@ def node_of(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit by bit, whether an odd number of tokens falls on it; equal for equal sets."""
+    odd = np.bincount(((s >> np.uint64(13)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def least(num: int, den: int, n: int) -> int:
     """Smallest overlap of a set of n with any linked one."""
     return -(-num * n // den)
@@ -86,25 +97,26 @@ def _scan(n: int, bits: int):
             size = 0
 
         for b in batches:
-            sizes, nodes = np.zeros(b.num_rows, np.int64), []
+            sizes, nodes, sketch = np.zeros(b.num_rows, np.int64), [], np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
             for w in slices(b.column("text")):
                 for r, s in token_sets(w, n):
                     sizes[r] = len(s)
                     nodes.append(node_of(s))
                     if len(s):
+                        sketch[r] = parity(s)
                         held.append((s >> np.uint64(64 - bits)).astype(np.int32))
                         size += len(s)
                 if size > 1 << 21:
                     count()
             none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes), pa.array(nodes, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes), pa.array(nodes, pa.binary()), none, pa.nulls(b.num_rows, pa.binary()), *[pa.array(c) for c in sketch.T]], names=SCAN)
         count()
         width = 1 << min(CHUNK_BITS, bits)
         for k in range(len(counts) // width):
             part = counts[k * width : (k + 1) * width]
             if part.any():
                 one = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "node", "chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *[one] * SKETCH_WORDS], names=SCAN)
 
     return run
 
@@ -241,6 +253,19 @@ def _may_link(num: int, den: int, x: str, y: str):
     return size & place
 
 
+def _sketch_allows(num: int, den: int, x: str, y: str, n: str):
+    """Bits that differ are at most the tokens that linked sets of these sizes may differ in."""
+    both = F.col(f"{x}{n}") + F.col(f"{y}{n}")
+    differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{x}{SKETCH[0]}").bitwiseXOR(F.col(f"{y}{SKETCH[0]}"))))
+    return differ <= both - 2 * F.ceil(num * both / F.lit(num + den) - F.lit(1e-6))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those that their sketches allow."""
+    of = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("size", *SKETCH)])
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_sketch_allows(num, den, "a_", "b_", "size")).select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, node) for each row of docs, links where den * |a & b| >= num * |a | b|.
 
@@ -249,9 +274,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     spark = docs.sparkSession
     shared.prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, chunk int, counts binary"), "scan")
-    summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node")
-    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"))
+    scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, chunk int, counts binary, " + ", ".join(f"{c} long" for c in SKETCH)), "scan")
+    summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node", *SKETCH)
+    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("size"), *[F.max(c).alias(c) for c in SKETCH])
+    nodes = shared.materialize(nodes, "nodes")
     chunk = 1 << min(CHUNK_BITS, SKETCH_BITS)
     marks = bytearray((1 << SKETCH_BITS) // 8)
     for r in scan.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(_outstanding, "chunk int, marks binary").collect():  # half a megabyte at any size
@@ -261,21 +287,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     order = Window.partitionBy("key").orderBy("n", "node")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = {c: F.lead(c).over(order) for c in ("node", "n", "lead", "rest")}
-    entries = entries.select("*", F.lag("node").over(order).alias("before"), F.first("node").over(whole).alias("f"), F.last("node").over(whole).alias("l"), *[x.alias(f"next_{c}") for c, x in ahead.items()])
+    entries = entries.select("*", F.lag("node").over(order).alias("before"), F.first("node").over(whole).alias("f"), F.last("node").over(whole).alias("l"), (F.count("*").over(whole) > 2).alias("many"), *[x.alias(f"next_{c}") for c, x in ahead.items()])
     entries = shared.materialize(entries.where("f <> l").drop("f", "l"), "entries")
 
     near = entries.where("node <> next_node").where(_may_link(num, den, "", "next_"))
     tried = near.select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct()
-    tried = shared.materialize(tried, "tried")
+    # what a key of two nodes can give is tried hereby; only keys of more are joined below
+    tried = shared.materialize(_alike(tried, nodes, num, den), "tried")
     links = _links(tried, d, nodes, n, num, den)
     parts = shared.connected_components(links)
 
-    left = entries.where("before IS NULL OR before <> node").select("key", "node", "n", "lead", "rest").join(parts, "node", "left")
+    left = entries.where("many AND (before IS NULL OR before <> node)").select("key", "node", "n", "lead", "rest").join(parts, "node", "left").join(nodes.select("node", *SKETCH), "node")
     left = left.withColumn("part", F.coalesce("component", "node")).drop("component")
-    x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "lead", "rest", "part")])
-    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part")])
+    x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
+    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
     on = (x.key == y.key) & (F.col("x_part") != F.col("y_part")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
-    more = x.join(y, on & _may_link(num, den, "x_", "y_")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    more = x.join(y, on & _may_link(num, den, "x_", "y_") & _sketch_allows(num, den, "x_", "y_", "n")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     more = _links(more.join(tried, ["a", "b"], "left_anti"), d, nodes, n, num, den)
 
     parts = shared.connected_components(links.union(more))
@@ -284,7 +311,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_node = labelled.join(least_ids, "component").select("node", "component_id")
     # a node with very many copies is one row here, so the hot side is only the summary's; AQE splits that
-    out = summary.join(by_node, "node", "left")
+    out = summary.drop("text_hash", *SKETCH).join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
