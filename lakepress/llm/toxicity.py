@@ -146,7 +146,7 @@ def telling_features(texts: list[str], toxic: np.ndarray, evidence: float = 11.5
     base = toxic.mean()
     p = np.clip(bad / n, 1e-9, 1 - 1e-9)
     kl = n * (p * np.log(p / base) + (1 - p) * np.log((1 - p) / (1 - base)))
-    return u[(p > max(3 * base, 0.6)) & (kl >= evidence)]
+    return u[(p > base + 0.6 * (1 - base)) & (kl >= evidence)]
 
 
 def fit_field(model: Field, texts: list[str], toxic: np.ndarray, rounds: int = 40, most_tokens: int = 1500) -> None:
