@@ -11,8 +11,8 @@ indexed for its size band and the next: sizes of linked sets differ by one band
 candidates, filtered by size, by position and by a parity sketch of the sets (its differing bits are at most the
 tokens that differ, so it drops no link); exact overlaps of the hashed sets decide.
 
-Sets that are equal are one node throughout. Candidates come in two rounds: first each entry with its neighbour in
-its key's order, then only pairs whose nodes the first round's links have not joined yet. So a group of copies does
+Sets that are equal are one node throughout. Candidates come in two rounds: first each entry with its two neighbours
+in an order of its key's own, then only pairs whose nodes the first round's links have not joined yet. So a group of copies does
 not give all its pairs, no cap is set, and no link between components is lost.
 
 Defined results: null or empty texts and texts without words have the empty set, are linked with nothing and are
@@ -246,9 +246,9 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int
 
 
 def _may_link(num: int, den: int, x: str, y: str):
-    """Size and position filters for two entries of a key; n of x is not above n of y."""
+    """Size and position filters for two entries of a key."""
     need = F.ceil(num * (F.col(f"{x}n") + F.col(f"{y}n")) / F.lit(num + den))
-    size = F.col(f"{x}n") * den >= F.col(f"{y}n") * num
+    size = F.least(f"{x}n", f"{y}n") * den >= F.greatest(f"{x}n", f"{y}n") * num
     place = F.least(f"{x}lead", f"{y}lead") + F.least(f"{x}rest", f"{y}rest") >= need - F.lit(1e-6)
     return size & place
 
@@ -284,14 +284,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
         marks[r.chunk * chunk // 8 : (r.chunk + 1) * chunk // 8] = r.marks
 
     entries = d.select("text").mapInArrow(_entries(n, num, den, bytes(marks), SKETCH_BITS), "key long, node binary, n int, lead int, rest int")
-    order = Window.partitionBy("key").orderBy("n", "node")
+    # another order under every key, so that a node meets other partners under each
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ahead = {c: F.lead(c).over(order) for c in ("node", "n", "lead", "rest")}
-    entries = entries.select("*", F.lag("node").over(order).alias("before"), F.first("node").over(whole).alias("f"), F.last("node").over(whole).alias("l"), (F.count("*").over(whole) > 2).alias("many"), *[x.alias(f"next_{c}") for c, x in ahead.items()])
+    ahead = {f"{p}_{c}": F.lead(c, k).over(order) for p, k in (("next", 1), ("far", 2)) for c in ("node", "n", "lead", "rest")}
+    entries = entries.select("*", F.lag("node").over(order).alias("before"), F.first("node").over(whole).alias("f"), F.last("node").over(whole).alias("l"), (F.count("*").over(whole) > 2).alias("many"), *[x.alias(c) for c, x in ahead.items()])
     entries = shared.materialize(entries.where("f <> l").drop("f", "l"), "entries")
 
-    near = entries.where("node <> next_node").where(_may_link(num, den, "", "next_"))
-    tried = near.select(F.least("node", "next_node").alias("a"), F.greatest("node", "next_node").alias("b")).distinct()
+    met = [entries.where(f"node <> {p}_node").where(_may_link(num, den, "", f"{p}_")).select(F.least("node", f"{p}_node").alias("a"), F.greatest("node", f"{p}_node").alias("b")) for p in ("next", "far")]
+    tried = met[0].union(met[1]).distinct()
     # what a key of two nodes can give is tried hereby; only keys of more are joined below
     tried = shared.materialize(_alike(tried, nodes, num, den), "tried")
     links = _links(tried, d, nodes, n, num, den)
