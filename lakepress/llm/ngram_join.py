@@ -239,7 +239,11 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int
     few = wanted.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(wanted) if few else wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "text")
     salted = pairs.withColumn("salt", ((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / SALT_ROWS).cast("int"))
-    own = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    if few and pairs.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        salted = F.broadcast(shared.materialize(salted, "salted"))
+    first = salted.select("a", "salt").distinct()
+    own = F.broadcast(first) if few else first  # no more rows than nodes and salts
+    own = own.join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
     other = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
     rows = own.union(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return shared.materialize(rows.mapInArrow(_verify(n, num, den), "u binary, v binary"), "links")
