@@ -234,13 +234,20 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int
     Texts travel, not sets: they take less than half of the room. One row stands for each node.
     """
     pairs = shared.materialize(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = shared.materialize(nodes.join(ends, "node", "left_semi").select("node", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("i")), "wanted")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    wanted = shared.materialize(nodes.join(ends, "node").select("node", "degree", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("i")), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "text")
+    small = F.broadcast if few else lambda df: df
+    texts = docs.join(small(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "text")
+    # the end with more partners is a: its text travels once for them all
+    for k in ("a", "b"):
+        pairs = pairs.join(small(wanted.select(F.col("node").alias(k), F.col("degree").alias(f"of_{k}"))), k)
+    turn = (F.col("of_b") > F.col("of_a")) | ((F.col("of_b") == F.col("of_a")) & (F.col("b") < F.col("a")))
+    pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     salted = pairs.withColumn("salt", ((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / SALT_ROWS).cast("int"))
-    if few and pairs.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        salted = F.broadcast(shared.materialize(salted, "salted"))
+    salted = shared.materialize(salted, "salted")
+    if few and salted.count() <= BROADCAST_ROWS:  # else both sides are shuffled
+        salted = F.broadcast(salted)
     first = salted.select("a", "salt").distinct()
     own = F.broadcast(first) if few else first  # no more rows than nodes and salts
     own = own.join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
@@ -302,8 +309,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links = _links(tried, d, nodes, n, num, den)
     parts = shared.connected_components(links)
 
-    left = entries.where("many AND (before IS NULL OR before <> node)").select("key", "node", "n", "lead", "rest").join(parts, "node", "left").join(nodes.select("node", *SKETCH), "node")
+    left = entries.where("many AND (before IS NULL OR before <> node)").select("key", "node", "n", "lead", "rest").join(parts, "node", "left")
     left = left.withColumn("part", F.coalesce("component", "node")).drop("component")
+    # keys whose nodes are all joined have nothing left to try
+    of_key = Window.partitionBy("key")
+    left = left.withColumns({"low": F.min("part").over(of_key), "high": F.max("part").over(of_key)}).where("low <> high").drop("low", "high")
+    left = shared.materialize(left.join(nodes.select("node", *SKETCH), "node"), "left")
     x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
     y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
     on = (x.key == y.key) & (F.col("x_part") != F.col("y_part")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
