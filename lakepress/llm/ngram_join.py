@@ -42,7 +42,11 @@ CHUNK_BITS = 16
 #: 64-bit words of the parity sketch; it tells sets of up to twice as many tokens as it has bits apart.
 SKETCH_WORDS = 8
 SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
-SCAN = ["doc_id", "text_hash", "n_shingles", "node", "chunk", "counts", *SKETCH]
+SCAN = ["doc_id", "text_hash", "n_shingles", "node", "wide", "chunk", "counts", *SKETCH]
+#: Sets of more tokens also have a wide sketch of one to two bits a token: the other one cannot tell them apart.
+WIDE_FROM = 64 * SKETCH_WORDS
+#: Bytes of wide sketches that may be broadcast to sift pairs; more are shuffled.
+WIDE_BYTES = 32 << 20
 #: Nodes that may be broadcast to find candidates' texts again (about 100 bytes each); more are shuffled.
 BROADCAST_ROWS = 250_000
 #: Partners of a node that one task gets together with its set.
@@ -70,12 +74,19 @@ def node_of(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Bit by bit, whether an odd number of tokens falls on it; equal for equal sets."""
-    odd = np.bincount(((s >> np.uint64(13)) & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+def parity(s: np.ndarray, bits: int = 64 * SKETCH_WORDS) -> np.ndarray:
+    """Bit by bit, whether an odd number of tokens falls on it; equal for equal sets.
+
+    bits is a power of two; the two halves of a sketch, combined by exclusive or, are the sketch of half the bits.
+    """
+    odd = np.bincount(((s >> np.uint64(13)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def wide_parity(s: np.ndarray) -> np.ndarray | None:
+    return parity(s, 1 << len(s).bit_length()) if len(s) > WIDE_FROM else None
+
+
 def least(num: int, den: int, n: int) -> int:
     """Smallest overlap of a set of n with any linked one."""
     return -(-num * n // den)
@@ -97,11 +108,12 @@ def _scan(n: int, bits: int):
             size = 0
 
         for b in batches:
-            sizes, nodes, sketch = np.zeros(b.num_rows, np.int64), [], np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
+            sizes, nodes, wide, sketch = np.zeros(b.num_rows, np.int64), [], [], np.zeros((b.num_rows, SKETCH_WORDS), np.int64)
             for w in slices(b.column("text")):
                 for r, s in token_sets(w, n):
                     sizes[r] = len(s)
                     nodes.append(node_of(s))
+                    wide.append(wide_parity(s))
                     if len(s):
                         sketch[r] = parity(s)
                         held.append((s >> np.uint64(64 - bits)).astype(np.int32))
@@ -109,14 +121,14 @@ def _scan(n: int, bits: int):
                 if size > 1 << 21:
                     count()
             none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes), pa.array(nodes, pa.binary()), none, pa.nulls(b.num_rows, pa.binary()), *[pa.array(c) for c in sketch.T]], names=SCAN)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(sizes), pa.array(nodes, pa.binary()), pa.array(wide, pa.list_(pa.int64())), none, pa.nulls(b.num_rows, pa.binary()), *[pa.array(c) for c in sketch.T]], names=SCAN)
         count()
         width = 1 << min(CHUNK_BITS, bits)
         for k in range(len(counts) // width):
             part = counts[k * width : (k + 1) * width]
             if part.any():
                 one = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *[one] * SKETCH_WORDS], names=SCAN)
+                yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), *[one] * SKETCH_WORDS], names=SCAN)
 
     return run
 
@@ -277,6 +289,24 @@ def _alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(_sketch_allows(num, den, "a_", "b_", "size")).select("a", "b")
 
 
+def _wide_alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those that their wide sketches allow; where a node has none, the pair stays.
+
+    A wide sketch takes about a twentieth of its text's room, and stands in for it where it shows that a pair is no link.
+    """
+    large = nodes.where("wide IS NOT NULL").select("node", "size", "wide")
+    small = F.broadcast if (large.agg(F.sum(F.size("wide") * 8 + 60)).first()[0] or 0) <= WIDE_BYTES else lambda df: df
+    for k in ("a", "b"):
+        pairs = pairs.join(small(large.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("wide").alias(f"{k}_wide"))), k, "left")
+    words = F.least(F.size("a_wide"), F.size("b_wide"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda w: F.when(F.size(w) > words, F.zip_with(F.slice(w, F.lit(1), words), F.slice(w, words + 1, words), xor)).otherwise(F.col(w))
+    differ = F.aggregate(F.zip_with(fold("a_wide"), fold("b_wide"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    both = F.col("a_size") + F.col("b_size")
+    none = F.col("a_wide").isNull() | F.col("b_wide").isNull() | (F.greatest(F.size("a_wide"), F.size("b_wide")) > 2 * words)
+    return pairs.where(none | (differ <= both - 2 * F.ceil(num * both / F.lit(num + den) - F.lit(1e-6)))).select("a", "b")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, node) for each row of docs, links where den * |a & b| >= num * |a | b|.
 
@@ -285,9 +315,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     spark = docs.sparkSession
     shared.prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, chunk int, counts binary, " + ", ".join(f"{c} long" for c in SKETCH)), "scan")
-    summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node", *SKETCH)
-    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("size"), *[F.max(c).alias(c) for c in SKETCH])
+    scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, wide array<long>, chunk int, counts binary, " + ", ".join(f"{c} long" for c in SKETCH)), "scan")
+    summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node", "wide", *SKETCH)
+    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("size"), F.max("wide").alias("wide"), *[F.max(c).alias(c) for c in SKETCH])
     nodes = shared.materialize(nodes, "nodes")
     chunk = 1 << min(CHUNK_BITS, SKETCH_BITS)
     marks = bytearray((1 << SKETCH_BITS) // 8)
@@ -305,7 +335,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     met = [entries.where(f"node <> {p}_node").where(_may_link(num, den, "", f"{p}_")).select(F.least("node", f"{p}_node").alias("a"), F.greatest("node", f"{p}_node").alias("b")) for p in ("next", "far")]
     tried = met[0].union(met[1]).distinct()
     # what a key of two nodes can give is tried hereby; only keys of more are joined below
-    tried = shared.materialize(_alike(tried, nodes, num, den), "tried")
+    tried = shared.materialize(_wide_alike(_alike(tried, nodes, num, den), nodes, num, den), "tried")
     links = _links(tried, d, nodes, n, num, den)
     parts = shared.connected_components(links)
 
@@ -315,7 +345,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
     on = (x.key == y.key) & (F.col("x_part") != F.col("y_part")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
     more = x.join(y, on & _may_link(num, den, "x_", "y_") & _sketch_allows(num, den, "x_", "y_", "n")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = _links(more.join(tried, ["a", "b"], "left_anti"), d, nodes, n, num, den)
+    more = _links(_wide_alike(more.join(tried, ["a", "b"], "left_anti"), nodes, num, den), d, nodes, n, num, den)
 
     parts = shared.connected_components(links.union(more))
     labelled = nodes.select("node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -323,7 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_node = labelled.join(least_ids, "component").select("node", "component_id")
     # a node with very many copies is one row here, so the hot side is only the summary's; AQE splits that
-    out = summary.drop("text_hash", *SKETCH).join(by_node, "node", "left")
+    out = summary.drop("text_hash", "wide", *SKETCH).join(by_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
 
