@@ -77,6 +77,21 @@ def test_ngram_join(spark, monkeypatch, num, n, frequent):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(i, *x) for i, x in enumerate(brute_components(texts, num, 100, n))]
 
 
+def test_large_sets_links_equal_brute_force(spark, monkeypatch):
+    """Sizes on both sides of a wide sketch's band and near the threshold; the sketches are shuffled, not broadcast."""
+    monkeypatch.setattr(ngram_join, "WIDE_BYTES", 0)
+    r = random.Random(11)
+    base = [[f"{w}{r.randrange(50)}" for w in prose(i, 1060).split()] for i in range(3)]
+    texts = []
+    for k in range(30):
+        w = list(base[k % 3])[: r.choice((500, 530, 1000, 1060))]
+        for _ in range(r.choice((0, 2, 10, 18, 20, 22, 25, 40))):
+            w[r.randrange(len(w))] = f"new{r.randrange(1000)}"
+        texts.append(" ".join(w))
+    got = ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == [(i, *x) for i, x in enumerate(brute_components(texts, 85, 100, 4))]
+
+
 def test_near_duplicate_filter(spark):
     t = prose(5, 60)
     rows = [(1, t), (1, t), (2, t + " more"), (3, "alone in here with words"), (None, t), (4, None), (4, None)]
