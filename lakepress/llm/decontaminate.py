@@ -2,14 +2,17 @@
 
 A mask is a fixed row of places that count or are ignored. Every window of a benchmark item and of a document is
 hashed over the places that count, under each mask, and equal hashes are hits. A substituted word breaks only the
-seeds in which it counts, so masks with different gaps still hit. Each hit names a diagonal (document place minus
-item place); there the words are compared one by one, substitutions count as misses, and the item is found when
+seeds in which it counts, so masks with different gaps still hit. A family of masks has every choice of `weight`
+places within `span`. An item takes the first family that is sure to hit wherever enough of its words agree, however
+the substitutions lie (`sure`), so no diagonal that is to be found is missed. Each hit names a diagonal (document
+place minus item place); there the words are compared one by one, substitutions count as misses, and the item is
+found when
 
 - at least `share` of the item's words agree on the diagonal, or
-- some window of `window` of its words on the diagonal has at least `window_hits` that agree.
+- some window of `window` of its words on the diagonal has at least `window_hits` that agree; where the item or the
+  document ends sooner, the window has only the words that both have.
 
-Items under `least_words` words are not searched: words so few occur anywhere by chance; longer ones are no
-shorter than the plain mask.
+Items under `least_words` words are not searched: words so few occur anywhere by chance.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size (`block_words`), each block goes to
 all tasks, and every document meets every block. Defined results: null or empty texts and items match nothing;
@@ -18,6 +21,8 @@ repeated rows each get their own result; a null id is kept as null.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,8 +33,27 @@ from pyspark.sql import functions as F
 from . import shared
 from .wordhash import ALNUM, Words, combine, slices
 
-#: Fixed masks of weight 5: 1 counts, 0 is ignored.
-MASKS = ("11111", "1101011", "10110011", "110010011")
+#: (weight, span) of the families of masks, the most telling first; the last one hits wherever a word agrees.
+FAMILIES = ((4, 6), (3, 5), (2, 3), (1, 1))
+#: Cells of diagonals that are compared at once.
+CELLS = 1 << 20
+
+
+def family(weight: int, span: int) -> list[str]:
+    """All masks of a weight that fit into a span: 1 counts, 0 is ignored."""
+    inner = [c for c in itertools.combinations(range(1, span), weight - 1)]
+    return ["".join("1" if i in (0, *c) else "0" for i in range(max((0, *c)) + 1)) for c in inner]
+
+
+def sure(n: int, hits: int, weight: int, span: int) -> bool:
+    """Whether `hits` agreeing words among n always have `weight` within some `span`: else, n words hold fewer."""
+    return hits > n // span * (weight - 1) + min(n % span, weight - 1)
+
+
+def masks_for(n: int, share: float, window: int, window_hits: int) -> list[str]:
+    """The masks for an item of n words."""
+    both = (n, math.ceil(share * n)), (min(window, n), window_hits)
+    return next((family(w, s) for w, s in FAMILIES if all(sure(m, hits, w, s) for m, hits in both)), family(*FAMILIES[-1]))
 
 
 def mask_places(mask: str) -> list[int]:
@@ -47,13 +71,17 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class SeedIndex:
     """The benchmark items of one block: their words' hashes and, sorted, all their seeds."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], share: float, window: int, window_hits: int):
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        found = [(s, k, np.arange(len(s))) for k, w in enumerate(self.words) for m in MASKS for s in [seeds(w, m)] if len(s)]
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
+        by_size = {n: masks_for(n, share, window, window_hits) for n in set(self.size.tolist())}
+        self.masks = sorted({m for ms in by_size.values() for m in ms})
+        found = [(s, k, np.arange(len(s), dtype=np.int32)) for k, w in enumerate(self.words) for m in by_size[len(w)] for s in [seeds(w, m)] if len(s)]
         key = np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(s), k) for s, k, _ in found]) if found else np.zeros(0, np.int64)
-        place = np.concatenate([p for _, _, p in found]) if found else np.zeros(0, np.int64)
+        item = np.concatenate([np.full(len(s), k, np.int32) for s, k, _ in found]) if found else np.zeros(0, np.int32)
+        place = np.concatenate([p for _, _, p in found]) if found else np.zeros(0, np.int32)
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.place = key[order], item[order], place[order]
         self.bits = 20
@@ -80,15 +108,33 @@ def compare(doc: np.ndarray, item: np.ndarray, shift: int, share: float, window:
     same = doc[lo + shift : hi + shift] == item[lo:hi]
     n = int(same.sum())
     found = n >= share * len(item)
-    if not found and len(same) >= window:
-        c = np.concatenate(([0], np.cumsum(same)))
-        found = int((c[window:] - c[:-window]).max()) >= window_hits
     if not found:
+        c, reach = np.concatenate(([0], np.cumsum(same))), min(window, len(same))
+        found = int((c[reach:] - c[:-reach]).max()) >= window_hits
+    if not found or not n:
         return None
     at = np.flatnonzero(same)
     return n, lo + shift + int(at[0]), lo + shift + int(at[-1]) + 1
 
 
+def agreeing(h: np.ndarray, at: np.ndarray, index: SeedIndex, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """How many words agree on each diagonal, within the document's row."""
+    out = np.zeros(len(row), np.int64)
+    lo, hi = np.maximum(0, at[row] - shift), np.minimum(index.size[item], at[row + 1] - shift)
+    n, begin = np.maximum(hi - lo, 0), np.cumsum(index.size) - index.size
+    cells = np.cumsum(n)
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(cells, (cells[a - 1] if a else 0) + CELLS, "right")))
+        m = n[a:b]
+        of = np.repeat(np.arange(a, b), m)
+        i = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
+        same = h[shift[of] + i] == index.flat[begin[item[of]] + i]
+        out[a:b] = np.bincount(of[same] - a, minlength=b - a)
+        a = b
+    return out
+
+
 def _search(index: SeedIndex, share: float, window: int, window_hits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,14 +153,25 @@ def _search(index: SeedIndex, share: float, window: int, window_hits: int):
 def found_in(w: Words, index: SeedIndex, share: float, window: int, window_hits: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(row in slice, item, agreeing words, first and end code point) for each item and diagonal that is found."""
     h = w.hashes()
-    parts = [index.hits(h, m) for m in MASKS]
-    pos, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(pos):
+    if not len(index.ids):
+        return
+    # one number for row, item and diagonal; a diagonal begins up to one item before the slice
+    longest = int(index.size.max())
+    width, codes = len(h) + longest, []
+    for m in index.masks:
+        pos, item, place = index.hits(h, m)
+        row = np.searchsorted(w.at, pos, "right") - 1
+        codes.append(np.unique((row * len(index.ids) + item) * width + (pos - place + longest)))
+    code = np.unique(np.concatenate(codes))
+    if not len(code):
         return
-    row = np.searchsorted(w.at, pos, "right") - 1
-    cand = np.unique(np.stack([row, item, pos - place], 1), axis=0)
+    rest, shift = np.divmod(code, width)
+    row, item = np.divmod(rest, len(index.ids))
+    shift -= longest
+    n = agreeing(h, w.at, index, row, item, shift)
+    keep = n >= np.minimum(share * index.size[item], window_hits)
     chars = None
-    for r, k, d in cand.tolist():
+    for r, k, d in zip(row[keep].tolist(), item[keep].tolist(), shift[keep].tolist(), strict=True):
         a, e = int(w.at[r]), int(w.at[r + 1])
         got = compare(h[a:e], index.words[k], d - a, share, window, window_hits)
         if got:
@@ -143,7 +200,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, win
     out, block, size = None, [], 0
 
     def searched(block):
-        return d.mapInArrow(_search(SeedIndex(block), share, window, window_hits), schema)
+        return d.mapInArrow(_search(SeedIndex(block, share, window, window_hits), share, window, window_hits), schema)
 
     for i, h in benchmark_items(benchmark, least_words):
         block.append((i, h))

@@ -249,6 +249,46 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def brute_contamination(texts, items, share=0.6, window=16, window_hits=13):
+    """{(document, item): most agreeing words} over every diagonal."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    out = {}
+    for i, k in itertools.product(range(len(texts)), range(len(items))):
+        d, w = words(texts[i]), words(items[k])
+        for shift in range(1 - len(w), len(d)) if len(w) >= 8 else ():
+            same = [d[shift + j] == w[j] for j in range(max(0, -shift), min(len(w), len(d) - shift))]
+            if sum(same) >= share * len(w) or any(sum(same[j : j + window]) >= window_hits for j in range(len(same))):
+                out[i, k] = max(out.get((i, k), 0), sum(same))
+    return out
+
+
+def test_decontamination_equals_brute_force_on_all_diagonals(spark):
+    sizes = [8, 9, 10, 11, 13, 15, 16, 17, 19, 20, 22, 25, 30, 36, 44, 59]
+    items = [prose(200 + n, n) for n in sizes]
+    r, texts, sure = random.Random(5), [], set()
+    for k, item in enumerate(items):
+        w = item.split()
+        least = -(-6 * len(w) // 10)
+        kept = [{j for j in range(len(w)) if "11010"[(j + s) % 5] == "1"} for s in range(5)] + [{j for j in range(len(w)) if j % 3 != s} for s in range(3)]
+        kept += [set(r.sample(range(len(w)), least + e)) for e in (0, 0, 0, 0, 0, 0, -1)]
+        for at in kept:
+            inner = " ".join(x if j in at else "other" for j, x in enumerate(w))
+            texts.append(r.choice(("", prose(len(texts), 9) + " ")) + inner + r.choice(("", " " + prose(len(texts) + 1, 7))))
+            if len(at) >= 0.6 * len(w):
+                sure.add((len(texts) - 1, k))
+        for n in (12, 13, 15):  # a document that begins or ends within the item
+            texts += [prose(len(texts), 20) + " " + " ".join(w[:n]), " ".join(w[-n:]) + " " + prose(len(texts), 20)]
+            if 13 <= n <= len(w):
+                sure |= {(len(texts) - 2, k), (len(texts) - 1, k)}
+    want = brute_contamination(texts, items)
+    assert sure <= set(want)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contamination(frame(spark, texts), bench).collect()
+    assert {(x.doc_id, x.item_id): x.n_same for x in got} == want
+    loose = decontaminate.contamination(frame(spark, texts[::4]), bench, share=0.35, window=9, window_hits=6).collect()
+    assert {(x.doc_id, x.item_id): x.n_same for x in loose} == brute_contamination(texts[::4], items, 0.35, 9, 6)
+
+
 def test_licenses(spark):
     mit = licenses.NOTICES["mit"][0].split()
     texts = ["Released UNDER the MIT-License. under the mit license", " ".join(mit[:20] + ["oddly"] + mit[20:]), "Apache License, Version 2 cc by-nc", "Licensed by K nobody", "GNU", *ODD]
