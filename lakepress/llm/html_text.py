@@ -2,7 +2,7 @@
 
 The standard library's parser is fed the page and streams its events. Text is gathered into lines, a line being what
 stands between block-level tags; each line counts its characters and the tags met since the line before. Lines in
-elements that are never content (navigation, header, footer, aside, forms, scripts, styles, adverts, notices,
+elements that are never content (end tags may be implied, of left-out elements too; navigation, header, footer, aside, forms, scripts, styles, adverts, notices,
 reader comments, by tag, role, class or id) are left out. The text-to-tag ratios of the other lines are smoothed
 with a Gaussian, and lines at or above a threshold derived from their spread are content; a run of content lines takes
 the short lines inside it along. Where a page marks its article, the clusters only choose among articles and pages
@@ -38,6 +38,15 @@ MARKS = frozenset(
 _PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
 #: p is closed by these start tags.
 _CLOSES_P = BLOCKS - {"br", "html", "body", "option", "optgroup", "title", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "noscript"}
+#: What else a start tag closes.
+_CLOSES = {
+    **dict.fromkeys(_CLOSES_P, ("p",)), "li": ("p", "li"), "dd": ("p", "dd", "dt"), "dt": ("p", "dd", "dt"), "option": ("option",), "optgroup": ("option", "optgroup"),
+    "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr", "caption"), **dict.fromkeys(("tbody", "thead", "tfoot"), ("td", "th", "tr", "caption", "tbody", "thead", "tfoot")),
+}
+#: An implied end does not reach beyond these.
+_HOLDS = frozenset("html body table button object template noscript canvas select svg audio video".split())
+_HOLDS_BY = {"p": _HOLDS | {"td", "th", "caption"}, "li": _HOLDS | frozenset("td th caption ul ol menu dir dl article section main aside nav header footer form fieldset blockquote details figure".split()), "option": frozenset(["select", "datalist", "html", "body"])}
+_HOLDS_BY |= {"dd": _HOLDS_BY["li"], "dt": _HOLDS_BY["li"], "optgroup": _HOLDS_BY["option"]}
 SIGMA = 1.0
 
 
@@ -67,8 +76,9 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             if self.buf:
                 self.cut()
-            if self.off is None and tag in _CLOSES_P and "p" in self.open[-8:]:
-                self.leave("p", 8)
+            for ended in _CLOSES.get(tag, ()):
+                if ended in self.open:
+                    self.leave(ended, len(self.open), _HOLDS_BY.get(ended, _HOLDS))
         self.tags += 1
         if tag in VOID:
             return
@@ -87,7 +97,8 @@ class Page(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def leave(self, tag: str, reach: int) -> None:
+    def leave(self, tag: str, reach: int, holds: frozenset[str] = frozenset()) -> None:
+        """End the innermost open element of the tag, left out or not, and all in it; unless one of `holds` stands between."""
         for k in range(len(self.open) - 1, max(-1, len(self.open) - 1 - reach), -1):
             if self.open[k] == tag:
                 del self.open[k:]
@@ -97,6 +108,8 @@ class Page(HTMLParser):
                     self.inside.pop()
                     self.article = self.articles if self.inside else 0
                 return
+            if self.open[k] in holds:
+                return
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS and self.buf:

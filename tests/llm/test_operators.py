@@ -200,6 +200,22 @@ def test_html():
     assert html_text.main_text(plain).endswith(prose(1, 60) + "\n" + prose(2, 50))
 
 
+def test_html_implied_ends_of_what_is_left_out():
+    for body, want in [
+        ("<div><p class=ad>buy<p>one<p>two</div>", "one\ntwo"),
+        ("<p class=ad>buy <span>now<div>one</div>", "one"),
+        ("<ul><li class=share>tell<li>one<li>two</ul>", "one\ntwo"),
+        ("<ul><li>one<ul><li class=share>tell</ul><li>two</ul>", "one\ntwo"),
+        ("<dl><dt class=ad>buy<dd>one<dt class=ad>buy<dt>two<dd class=ad>buy</dl>three", "one\ntwo\nthree"),
+        ("<table><tr class=ad><td>buy<td>now<tr><td>one<td class=share>tell<td>two<tr><td>three</table>", "one\ntwo\nthree"),
+        ("<table><tr><td class=ad><table><tr><td>inner<tr><td>inner</table><p>buy<td>one</table>", "one"),
+        ("<p>one<noscript><div>no</div>no</noscript> two</p>", "one\ntwo"),
+        ("<p>one<select><option>no<option>no</select> two<p>three", "one\ntwo\nthree"),
+        ("<div class=ad><p>buy<p>buy<ul><li>buy<li>buy</ul>buy</div><p>one", "one"),
+    ]:
+        assert html_text.main_text(f"<article>{body}</article>") == want, body
+
+
 def test_token_cache(spark, tmp_path):
     import sentencepiece
 
