@@ -4,8 +4,8 @@ The standard library's parser is fed the page and streams its events. Text is ga
 stands between block-level tags; each line counts its characters and the tags met since the line before. Lines in
 elements that are never content (end tags may be implied, of left-out elements too; navigation, header, footer, aside, forms, scripts, styles, adverts, notices,
 reader comments, by tag, role, class or id) are left out. The text-to-tag ratios of the other lines are smoothed
-with a Gaussian, and lines at or above a threshold derived from their spread are content; a run of content lines takes
-the short lines inside it along. Where a page marks its article, the clusters only choose among articles and pages
+with a Gaussian, and lines at or above a threshold derived from their spread are content. A run of content lines takes
+the short lines along that belong to it (`cluster`): those inside it, and headings and tails in its container. Where a page marks its article, the clusters only choose among articles and pages
 without a mark: a marked article is kept whole, since its short paragraphs are content too.
 
 Defined results: null and empty pages, and pages without content, give the empty text; broken markup is read as far
@@ -14,9 +14,12 @@ as it goes; white space inside a block is one space, blocks are joined by one ne
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +53,26 @@ _HOLDS_BY |= {"dd": _HOLDS_BY["li"], "dt": _HOLDS_BY["li"], "optgroup": _HOLDS_B
 SIGMA = 1.0
 
 
+#: Elements that hold regions of a page: lists, tables and paragraphs belong to the one they are in.
+CONTAINERS = frozenset("html body div section article main center details dialog".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int  # met since the line before
+    article: int  # number of the article it is in, or 0
+    boxes: tuple[int, ...]  # numbers of the containers it is in, outermost first
+    linked: int  # characters in links
+    heading: bool
+
+
 class Page(HTMLParser):
-    """Gathers lines (text, tags before it, in an article)."""
+    """Gathers the lines of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[Line] = []
         self.open: list[str] = []
         self.off: int | None = None  # how deep the outermost element that is left out stands
         self.article = 0
@@ -63,13 +80,19 @@ class Page(HTMLParser):
         self.tags = 0
         self.buf: list[str] = []
         self.inside: list[int] = []
+        self.boxes: tuple[int, ...] = ()
+        self.depths: list[int] = []  # how deep each of the open containers stands
+        self.n_boxes = 0
+        self.links = 0
+        self.linked = 0
 
     def cut(self) -> None:
         if self.buf:
             text = " ".join("".join(self.buf).split())
             if text:
-                self.lines.append((text, self.tags, self.article))
+                self.lines.append(Line(text, self.tags, self.article, self.boxes, self.linked, not _HEADINGS.isdisjoint(self.open)))
                 self.tags = 0
+            self.linked = 0
             self.buf.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -83,6 +106,12 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         self.open.append(tag)
+        if tag in CONTAINERS:
+            self.n_boxes += 1
+            self.boxes += (self.n_boxes,)
+            self.depths.append(len(self.open))
+        elif tag == "a":
+            self.links += 1
         if self.off is None:
             if tag == "article" or tag == "main":
                 self.articles += 1
@@ -101,7 +130,12 @@ class Page(HTMLParser):
         """End the innermost open element of the tag, left out or not, and all in it; unless one of `holds` stands between."""
         for k in range(len(self.open) - 1, max(-1, len(self.open) - 1 - reach), -1):
             if self.open[k] == tag:
+                if self.links:
+                    self.links -= self.open[k:].count("a")
                 del self.open[k:]
+                while self.depths and k < self.depths[-1]:
+                    self.depths.pop()
+                    self.boxes = self.boxes[:-1]
                 if self.off is not None and k < self.off:
                     self.off = None
                 while self.inside and k < self.inside[-1]:
@@ -121,6 +155,8 @@ class Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.off is None:
             self.buf.append(data)
+            if self.links:
+                self.linked += len(data.strip())
 
 
 def not_content(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -142,17 +178,56 @@ def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(x, k)[r : r + len(x)] / np.convolve(np.ones(len(x)), k)[r : r + len(x)]
 
 
-def choose(lines: list[tuple[str, int, int]]) -> list[str]:
+def regions(lines: list[Line]) -> list[tuple[int, ...]]:
+    """The containers of each line; one that holds a single line is none of its own."""
+    held = Counter(b for x in lines for b in x.boxes)
+    return [tuple(b for k, b in enumerate(x.boxes) if k == 0 or held[b] > 1) for x in lines]
+
+
+def cluster(lines: list[Line], raw: np.ndarray, ratio: np.ndarray, limit: float) -> np.ndarray:
+    """Which lines are content: by their smoothed ratio, or as runs take along the lines that belong to them.
+
+    A line that only its neighbours' ratios lift is no content if it is mostly links, and takes no others along. A gap between two content lines is closed where both stand in one container, or in ones directly in it; of other
+    containers in the gap, lines that are mostly links stay out. Beyond its ends a run takes the lines of its end's
+    container, as far as they are not mostly links, and headings right before it from the container around.
+    """
+    box = regions(lines)
+    listed = [2 * x.linked >= len(x.text) for x in lines]
+    content = (ratio >= limit) & ((raw >= limit) | ~np.array(listed))
+    out, seeds = content.copy(), np.flatnonzero(content & (raw >= limit)).tolist()
+    for i, j in itertools.pairwise(seeds):
+        a, b = box[i], box[j]
+        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        if n and max(len(a), len(b)) <= n + 1 and (n > 1 or a == b):
+            for k in range(i + 1, j):
+                out[k] = out[k] or not listed[k] or box[k] in (a, b)
+    own_seeds = set(seeds)
+    for step in (-1, 1):
+        for i in seeds:
+            own, k = box[i], i + step
+            while 0 <= k < len(lines) and k not in own_seeds and not listed[k] and box[k][: len(own)] == own:
+                out[k] = True
+                k += step
+            while step < 0 <= k and lines[k].heading and not listed[k] and box[k] == own[:-1]:
+                out[k] = True
+                k += step
+    return out
+
+
+def choose(lines: list[Line]) -> list[str]:
     """Lines of content regions by smoothed text-to-tag ratio."""
     if not lines:
         return []
-    ratio = smooth(np.array([len(t) / max(1, n) for t, n, _ in lines]))
+    raw = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    ratio = smooth(raw)
     limit = min(ratio.std(), ratio.mean()) if len(lines) > 2 else 0.0
     content = ratio >= limit
-    marked = np.array([a > 0 for _, _, a in lines])
-    if (content & marked).any() or sum(len(t) for t, _, a in lines if a) * 2 >= sum(len(t) for t, _, _ in lines):
+    marked = np.array([x.article > 0 for x in lines])
+    if (content & marked).any() or sum(len(x.text) for x in lines if x.article) * 2 >= sum(len(x.text) for x in lines):
         content = marked
-    return [t for (t, _, _), keep in zip(lines, content, strict=True) if keep]
+    else:
+        content = cluster(lines, raw, ratio, limit)
+    return [x.text for x, keep in zip(lines, content, strict=True) if keep]
 
 
 def main_text(html: str | None) -> str:

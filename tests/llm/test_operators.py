@@ -216,6 +216,25 @@ def test_html_implied_ends_of_what_is_left_out():
         assert html_text.main_text(f"<article>{body}</article>") == want, body
 
 
+def test_html_clusters_of_pages_without_marks():
+    short = [prose(300 + i, 10) for i in range(9)]
+    para = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+    long = [prose(310 + i, 500) for i in range(3)]
+    links = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in WORDS[:12]) + "</ul>"
+    two = "<div><ul><li><a href=x>one</a></li><li><a href=x>two</a></li></ul></div>"
+    for name, body, want in [
+        ("tail", f"{links}<div>{para([long[0], *short])}</div>{links}", [long[0], *short]),
+        ("tail in the body", para([long[0], *short]) + links, [long[0], *short]),
+        ("gap", f"{links}<div>{para([long[0], *short[:4], long[1]])}</div>", [long[0], *short[:4], long[1]]),
+        ("headings", f"{links}<div><h1>Head</h1><p>By us</p>{para(long[:1])}<h2>Next</h2>{para(short[:3])}<h2>Last</h2>{para(short[3:5])}</div>{two}", ["Head", "By us", long[0], "Next", *short[:3], "Last", *short[3:5]]),
+        ("list", f"{links}<div>{para(long[:1])}<ul>{''.join(f'<li>{t}</li>' for t in short[:5])}</ul>{para(short[5:])}</div>{links}", [long[0], *short]),
+        ("table", f"{links}<div>{para(long[:1])}<table><tr><td>a<td>b<tr><td>c<td>d</table>{para(short[5:])}</div>{links}", [long[0], *"abcd", *short[5:]]),
+        ("a container for each", f"{links}<div>{''.join(f'<div><p>{t}</p></div>' for t in [short[0], long[0], *short[1:5], long[1], *short[5:]])}</div>{links}", [short[0], long[0], *short[1:5], long[1], *short[5:]]),
+        ("sections", f"{links}<div><h1>Head</h1><div>{para([long[0], short[0]])}</div>{two}<div>{para([short[1], long[1], short[2]])}</div></div>{links}", ["Head", long[0], short[0], short[1], long[1], short[2]]),
+    ]:
+        assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want), name
+
+
 def test_token_cache(spark, tmp_path):
     import sentencepiece
 
