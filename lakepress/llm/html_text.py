@@ -5,8 +5,10 @@ stands between block-level tags; each line counts its characters and the tags me
 elements that are never content (end tags may be implied, of left-out elements too; navigation, header, footer, aside, forms, scripts, styles, adverts, notices,
 reader comments, by tag, role, class or id) are left out. The text-to-tag ratios of the other lines are smoothed
 with a Gaussian, and lines at or above a threshold derived from their spread are content. A run of content lines takes
-the short lines along that belong to it (`cluster`): those inside it, and headings and tails in its container. Where a page marks its article, the clusters only choose among articles and pages
-without a mark: a marked article is kept whole, since its short paragraphs are content too.
+the short lines along that belong to it (`cluster`): those inside it, and headings and tails in its container. A page's marks
+(<article>, <main>) bound clusters: ratios are not smoothed and runs do not go over their edges, and a mark in which
+any line is content, or which holds half of the page's text, is kept whole but for marks within it, since its short
+paragraphs are content too. What is outside is held against the same threshold.
 
 Defined results: null and empty pages, and pages without content, give the empty text; broken markup is read as far
 as it goes; white space inside a block is one space, blocks are joined by one newline in page order; nothing is cut.
@@ -61,7 +63,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 class Line(NamedTuple):
     text: str
     tags: int  # met since the line before
-    article: int  # number of the article it is in, or 0
+    marks: tuple[int, ...]  # numbers of the <article> and <main> it is in, outermost first
     boxes: tuple[int, ...]  # numbers of the containers it is in, outermost first
     linked: int  # characters in links
     heading: bool
@@ -75,8 +77,8 @@ class Page(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[str] = []
         self.off: int | None = None  # how deep the outermost element that is left out stands
-        self.article = 0
-        self.articles = 0
+        self.marks: tuple[int, ...] = ()
+        self.n_marks = 0
         self.tags = 0
         self.buf: list[str] = []
         self.inside: list[int] = []
@@ -90,7 +92,7 @@ class Page(HTMLParser):
         if self.buf:
             text = " ".join("".join(self.buf).split())
             if text:
-                self.lines.append(Line(text, self.tags, self.article, self.boxes, self.linked, not _HEADINGS.isdisjoint(self.open)))
+                self.lines.append(Line(text, self.tags, self.marks, self.boxes, self.linked, not _HEADINGS.isdisjoint(self.open)))
                 self.tags = 0
             self.linked = 0
             self.buf.clear()
@@ -114,9 +116,9 @@ class Page(HTMLParser):
             self.links += 1
         if self.off is None:
             if tag == "article" or tag == "main":
-                self.articles += 1
+                self.n_marks += 1
                 self.inside.append(len(self.open))
-                self.article = self.articles
+                self.marks += (self.n_marks,)
             inner = bool(self.inside) and tag == "header"  # an article's own header holds its title
             if (tag in NEVER and not inner) or (attrs and tag != "body" and tag != "html" and not_content(tag, attrs)):
                 self.off = len(self.open)
@@ -140,7 +142,7 @@ class Page(HTMLParser):
                     self.off = None
                 while self.inside and k < self.inside[-1]:
                     self.inside.pop()
-                    self.article = self.articles if self.inside else 0
+                    self.marks = self.marks[:-1]
                 return
             if self.open[k] in holds:
                 return
@@ -198,14 +200,14 @@ def cluster(lines: list[Line], raw: np.ndarray, ratio: np.ndarray, limit: float)
     for i, j in itertools.pairwise(seeds):
         a, b = box[i], box[j]
         n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        if n and max(len(a), len(b)) <= n + 1 and (n > 1 or a == b):
+        if lines[i].marks == lines[j].marks and n and max(len(a), len(b)) <= n + 1 and (n > 1 or a == b):
             for k in range(i + 1, j):
-                out[k] = out[k] or not listed[k] or box[k] in (a, b)
+                out[k] = out[k] or lines[k].marks == lines[i].marks and (not listed[k] or box[k] in (a, b))
     own_seeds = set(seeds)
     for step in (-1, 1):
         for i in seeds:
             own, k = box[i], i + step
-            while 0 <= k < len(lines) and k not in own_seeds and not listed[k] and box[k][: len(own)] == own:
+            while 0 <= k < len(lines) and k not in own_seeds and not listed[k] and lines[k].marks == lines[i].marks and box[k][: len(own)] == own:
                 out[k] = True
                 k += step
             while step < 0 <= k and lines[k].heading and not listed[k] and box[k] == own[:-1]:
@@ -219,14 +221,15 @@ def choose(lines: list[Line]) -> list[str]:
     if not lines:
         return []
     raw = np.array([len(x.text) / max(1, x.tags) for x in lines])
-    ratio = smooth(raw)
+    ratio = np.concatenate([smooth(raw[np.array([k for k, _ in part])]) for _, part in itertools.groupby(enumerate(lines), lambda x: x[1].marks)])
     limit = min(ratio.std(), ratio.mean()) if len(lines) > 2 else 0.0
-    content = ratio >= limit
-    marked = np.array([x.article > 0 for x in lines])
-    if (content & marked).any() or sum(len(x.text) for x in lines if x.article) * 2 >= sum(len(x.text) for x in lines):
-        content = marked
-    else:
-        content = cluster(lines, raw, ratio, limit)
+    content = cluster(lines, raw, ratio, limit)
+    size = Counter()
+    for x in lines:
+        size[x.marks] += len(x.text)
+    chosen = {x.marks for x, keep in zip(lines, content, strict=True) if keep} | {m for m, n in size.items() if 2 * n >= size.total()}
+    whole = {m[:k] for m in chosen for k in range(1, len(m) + 1)}
+    content |= np.array([x.marks in whole for x in lines])
     return [x.text for x, keep in zip(lines, content, strict=True) if keep]
 
 

@@ -235,6 +235,24 @@ def test_html_clusters_of_pages_without_marks():
         assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want), name
 
 
+def test_html_marks_do_not_choose_alone():
+    long, short = [prose(320 + i, 200) for i in range(4)], [prose(330 + i, 10) for i in range(4)]
+    para = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+    card = lambda t: f"<article><h3><a href=x>More</a></h3><a href=x><img src=x></a><p>{t}</p><a href=x>read on</a></article>"
+    cards, over = "".join(card(t) for t in ("ka lo", "mi nu", "re sa")), "<article><p>" + prose(340, 150) + "</p></article>"
+    text = [long[0], short[0], long[1], short[1]]
+    for name, body, want in [
+        ("text beside cards", f"<div>{para(text)}</div>{cards}", text),
+        ("text beside cards, one over the threshold", f"<div>{para(text)}</div>{cards}{over}", [*text, prose(340, 150)]),
+        ("an article among cards", f"{cards}<article><h1>Head</h1>{para([*text, *short[2:]])}</article>{cards}", ["Head", *text, *short[2:]]),
+        ("an article in main", f"<main><h1>Head</h1><article>{para([*text, *short[2:]])}</article><p>{short[0]}</p>{cards}</main>", ["Head", *text, *short[2:], short[0]]),
+        ("text in main beside cards", f"<main>{cards}<div>{para(text)}</div>{cards}</main>", text),
+        ("short articles", "".join(f"<article><p>{t}</p></article>" for t in short), short),
+        ("nothing but a short article", f"<div><a href=x>Home</a></div><article><h1>Head</h1><p>{short[0]}</p></article>", ["Head", short[0]]),
+    ]:
+        assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want), name
+
+
 def test_token_cache(spark, tmp_path):
     import sentencepiece
 
