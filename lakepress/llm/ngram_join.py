@@ -15,10 +15,16 @@ Sets that are equal are one node throughout. Candidates come in two rounds: firs
 in an order of its key's own, then only pairs whose nodes the first round's links have not joined yet. So a group of copies does
 not give all its pairs, no cap is set, and no link between components is lost.
 
+Nothing that grows with the corpus is broadcast: joins of nodes, pairs and texts are sort-merge joins at every size.
+Hot keys are known from the count sketch before anything is shuffled: a key's entries are dealt over as many salts as
+its tokens' counts ask for (`HOT_ROWS` each), and in the second round one side of such a key is dealt by salt and size
+band while the other is sent to all its salts. A node with many partners is dealt by salts of the partner's hash.
+
 Defined results: null or empty texts and texts without words have the empty set, are linked with nothing and are
 their own component; fewer than n words are one token; rows with a null id are kept, and their id is never the
 smallest; repeated rows each stay. An empty table gives an empty result. Tokens are 64-bit hashes: the sets are
-compared exactly as hashed.
+compared exactly as hashed. Columns beside id and text are not looked at. Thresholds num / den from 0.25 up are
+supported (`ngram_jaccard_join` refuses others).
 """
 
 from __future__ import annotations
@@ -45,10 +51,8 @@ SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 SCAN = ["doc_id", "text_hash", "n_shingles", "node", "wide", "chunk", "counts", *SKETCH]
 #: Sets of more tokens also have a wide sketch of one to two bits a token: the other one cannot tell them apart.
 WIDE_FROM = 64 * SKETCH_WORDS
-#: Bytes of wide sketches that may be broadcast to sift pairs; more are shuffled.
-WIDE_BYTES = 32 << 20
-#: Nodes that may be broadcast to find candidates' texts again (about 100 bytes each); more are shuffled.
-BROADCAST_ROWS = 250_000
+#: Entries of one key that one salt gets, as the count sketch has them.
+HOT_ROWS = 20_000
 #: Partners of a node that one task gets together with its set.
 SALT_ROWS = 256
 
@@ -133,25 +137,34 @@ def _scan(n: int, bits: int):
     return run
 
 
-def _outstanding(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of each chunk of buckets, and mark those far above the chunk's median."""
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
-            x = np.frombuffer(zlib.decompress(c.as_py()), np.uint32).astype(np.uint64)
-            sums[k] = sums[k] + x if k in sums else x
-    for k, x in sums.items():
-        mid = float(np.median(x))
-        marks = np.packbits(x > mid + 6 * math.sqrt(mid) + 30)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([marks.tobytes()], pa.binary())], names=["chunk", "marks"])
+def _outstanding(hot_rows: int):
+    """Sum the counts of each chunk of buckets; mark those far above the chunk's median, and give salts to hot ones."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column("chunk").to_pylist(), b.column("counts"), strict=True):
+                x = np.frombuffer(zlib.decompress(c.as_py()), np.uint32).astype(np.uint64)
+                sums[k] = sums[k] + x if k in sums else x
+        for k, x in sums.items():
+            mid = float(np.median(x))
+            marks = np.packbits(x > mid + 6 * math.sqrt(mid) + 30)
+            salts = np.clip(np.ceil((x - mid) / hot_rows), 1, 30_000).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([marks.tobytes()], pa.binary()), pa.array([zlib.compress(salts.tobytes(), 1)], pa.binary())], names=["chunk", "marks", "salts"])
+
+    return run
 
 
-def prefix_entries(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> list[tuple[int, int, int]]:
-    """(key, lead, rest) of a set's entries: at most `lead` tokens are shared up to the entry, `rest` tokens follow."""
+def prefix_entries(s: np.ndarray, frequent: np.ndarray, num: int, den: int, salts: np.ndarray | None = None) -> list[tuple[int, int, int, int]]:
+    """(key, lead, rest, salts) of a set's entries: at most `lead` tokens are shared up to the entry, `rest` tokens follow.
+
+    salts: how many each token's bucket asks for (null: one); a pair's key is no more frequent than either token.
+    """
     n = len(s)
     p = n - least(num, den, n) + 1
+    salts = np.ones(n, np.int64) if salts is None else salts
     rare = s[~frequent]
-    out = [(int(k), 1, n - i - 1) for i, k in enumerate(rare[:p].view(np.int64))]
+    out = [(k, 1, n - i - 1, m) for i, (k, m) in enumerate(zip(rare[:p].view(np.int64).tolist(), salts[~frequent][:p].tolist(), strict=True))]
     if len(rare) >= p:
         return out
     often = s[frequent]
@@ -178,41 +191,48 @@ def prefix_entries(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> l
             raise AssertionError(f"prefix of {n} tokens too short")
         if first:
             key = combine([often[first], often[second]], 7919 * (band + 1)).view(np.int64)
-            out += zip(key.tolist(), lead, rest, strict=True)
+            deal = salts[frequent]
+            out += zip(key.tolist(), lead, rest, np.minimum(deal[first], deal[second]).tolist(), strict=True)
     return out
 
 
-def _entries(n: int, num: int, den: int, marks: bytes, bits: int):
+def _entries(n: int, num: int, den: int, marks: bytes, salts: dict[int, bytes], bits: int):
     smallest = next(k for k in range(1, 10_000) if num * (k + 1) <= den * k)  # smaller sets link with equal ones only
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
+        width = 1 << min(CHUNK_BITS, bits)
+        deal = np.ones(1 << bits, np.uint16)
+        for k, packed in salts.items():
+            deal[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint16)
         seen: set[bytes] = set()
         for b in batches:
-            keys, nodes, sizes, leads, rests = [], [], [], [], []
+            rows, nodes, sizes = [], [], []
             for w in slices(b.column("text")):
                 for _, s in token_sets(w, n):
                     if len(s) < smallest or (node := node_of(s)) in seen:
                         continue
                     if len(seen) < 200_000:  # what this task has indexed already is left out; the rest is found out below
                         seen.add(node)
-                    for k, a, c in prefix_entries(s, often[(s >> np.uint64(64 - bits)).astype(np.int64)], num, den):
-                        keys.append(k)
-                        leads.append(a)
-                        rests.append(c)
-                    nodes += [node] * (len(keys) - len(nodes))
-                    sizes += [len(s)] * (len(keys) - len(sizes))
-                if len(keys) > 100_000:
-                    yield _batch(keys, nodes, sizes, leads, rests)
-                    keys, nodes, sizes, leads, rests = [], [], [], [], []
-            if keys:
-                yield _batch(keys, nodes, sizes, leads, rests)
+                    bucket = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    new = prefix_entries(s, often[bucket], num, den, deal[bucket])
+                    rows += new
+                    nodes += [node] * len(new)
+                    sizes += [len(s)] * len(new)
+                if len(rows) > 100_000:
+                    yield _batch(rows, nodes, sizes)
+                    rows, nodes, sizes = [], [], []
+            if rows:
+                yield _batch(rows, nodes, sizes)
 
     return run
 
 
-def _batch(keys, nodes, sizes, leads, rests) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(leads, pa.int32()), pa.array(rests, pa.int32())], names=["key", "node", "n", "lead", "rest"])
+def _batch(rows: list[tuple[int, int, int, int]], nodes: list[bytes], sizes: list[int]) -> pa.RecordBatch:
+    key, lead, rest, salts = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(lead, pa.int32()), pa.array(rest, pa.int32()), pa.array(salts, pa.int32())], names=["key", "node", "n", "lead", "rest", "salts"]
+    )
 
 
 def _verify(n: int, num: int, den: int):
@@ -243,28 +263,25 @@ def _verify(n: int, num: int, den: int):
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough.
 
-    Texts travel, not sets: they take less than half of the room. One row stands for each node.
+    Texts travel, not sets: they take less than half of the room. One row stands for each node; its text meets all
+    that need it in one join, and goes from there to the pairs' tasks.
     """
     pairs = shared.materialize(pairs, "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-    wanted = shared.materialize(nodes.join(ends, "node").select("node", "degree", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("i")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else lambda df: df
-    texts = docs.join(small(wanted), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("node", "text")
-    # the end with more partners is a: its text travels once for them all
+    ends = ends.join(nodes.select("node", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("i")).hint("merge"), "node")
+    ends = shared.materialize(ends, "ends")
     for k in ("a", "b"):
-        pairs = pairs.join(small(wanted.select(F.col("node").alias(k), F.col("degree").alias(f"of_{k}"))), k)
-    turn = (F.col("of_b") > F.col("of_a")) | ((F.col("of_b") == F.col("of_a")) & (F.col("b") < F.col("a")))
-    pairs = pairs.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
-    salted = pairs.withColumn("salt", ((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / SALT_ROWS).cast("int"))
-    salted = shared.materialize(salted, "salted")
-    if few and salted.count() <= BROADCAST_ROWS:  # else both sides are shuffled
-        salted = F.broadcast(salted)
-    first = salted.select("a", "salt").distinct()
-    own = F.broadcast(first) if few else first  # no more rows than nodes and salts
-    own = own.join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
-    other = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    rows = own.union(other).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        pairs = pairs.join(ends.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("degree", "h", "i")]).hint("merge"), k)
+    # the end with more partners is a: its text travels once for them all
+    turn = (F.col("degree_b") > F.col("degree_a")) | ((F.col("degree_b") == F.col("degree_a")) & (F.col("b") < F.col("a")))
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    pairs = pairs.select(*[pick(f"{c}{x}", f"{c}{y}").alias(f"{c}{x}") for c in ("", "degree_", "h_", "i_") for x, y in (("a", "b"), ("b", "a"))])
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree_a") / SALT_ROWS)).cast("int")
+    salted = shared.materialize(pairs.withColumn("salt", salt), "salted")
+    none = F.lit(None).cast("binary")
+    need = salted.select(F.col("h_a").alias("h"), F.col("i_a").alias("i"), "a", "salt", none.alias("b")).distinct().union(salted.select("h_b", "i_b", "a", "salt", "b"))
+    rows = docs.join(need.hint("merge"), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("i"))).select("a", "salt", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return shared.materialize(rows.mapInArrow(_verify(n, num, den), "u binary, v binary"), "links")
 
 
@@ -286,7 +303,7 @@ def _sketch_allows(num: int, den: int, x: str, y: str, n: str):
 def _alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that their sketches allow."""
     of = lambda k: nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("size", *SKETCH)])
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_sketch_allows(num, den, "a_", "b_", "size")).select("a", "b")
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(_sketch_allows(num, den, "a_", "b_", "size")).select("a", "b")
 
 
 def _wide_alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -295,9 +312,8 @@ def _wide_alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
     A wide sketch takes about a twentieth of its text's room, and stands in for it where it shows that a pair is no link.
     """
     large = nodes.where("wide IS NOT NULL").select("node", "size", "wide")
-    small = F.broadcast if (large.agg(F.sum(F.size("wide") * 8 + 60)).first()[0] or 0) <= WIDE_BYTES else lambda df: df
     for k in ("a", "b"):
-        pairs = pairs.join(small(large.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("wide").alias(f"{k}_wide"))), k, "left")
+        pairs = pairs.join(large.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("wide").alias(f"{k}_wide")).hint("merge"), k, "left")
     words = F.least(F.size("a_wide"), F.size("b_wide"))
     xor = lambda x, y: x.bitwiseXOR(y)
     fold = lambda w: F.when(F.size(w) > words, F.zip_with(F.slice(w, F.lit(1), words), F.slice(w, words + 1, words), xor)).otherwise(F.col(w))
@@ -308,29 +324,35 @@ def _wide_alike(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) for each row of docs, links where den * |a & b| >= num * |a | b|.
+    """(doc_id, n_shingles, component_id, node, component, text_hash) for each row of docs, links where den * |a & b| >= num * |a | b|.
 
-    node is a digest of the token set (null if empty): rows of one node have equal sets. See the module for the method.
+    node is a digest of the token set (null if empty): rows of one node have equal sets; component is the smallest
+    node of those that links reach. See the module for the method.
     """
+    if not den <= 4 * num <= 4 * den:
+        raise ValueError("similarity must be from 0.25 to 1")
     spark = docs.sparkSession
     shared.prepare(spark)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     scan = shared.materialize(d.mapInArrow(_scan(n, SKETCH_BITS), "doc_id long, text_hash long, n_shingles long, node binary, wide array<long>, chunk int, counts binary, " + ", ".join(f"{c} long" for c in SKETCH)), "scan")
     summary = scan.where("chunk IS NULL").select("doc_id", "text_hash", "n_shingles", "node", "wide", *SKETCH)
-    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("size"), F.max("wide").alias("wide"), *[F.max(c).alias(c) for c in SKETCH])
+    nodes = summary.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("size"), F.count("*").alias("copies"), F.max("wide").alias("wide"), *[F.max(c).alias(c) for c in SKETCH])
     nodes = shared.materialize(nodes, "nodes")
     chunk = 1 << min(CHUNK_BITS, SKETCH_BITS)
-    marks = bytearray((1 << SKETCH_BITS) // 8)
-    for r in scan.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(_outstanding, "chunk int, marks binary").collect():  # half a megabyte at any size
+    marks, salts = bytearray((1 << SKETCH_BITS) // 8), {}
+    sums = scan.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(_outstanding(HOT_ROWS), "chunk int, marks binary, salts binary")
+    for r in sums.collect():  # a bit and two packed bytes for each bucket: nine megabytes at any size, most often under one
         marks[r.chunk * chunk // 8 : (r.chunk + 1) * chunk // 8] = r.marks
+        salts[r.chunk] = bytes(r.salts)
 
-    entries = d.select("text").mapInArrow(_entries(n, num, den, bytes(marks), SKETCH_BITS), "key long, node binary, n int, lead int, rest int")
+    entries = d.select("text").mapInArrow(_entries(n, num, den, bytes(marks), salts, SKETCH_BITS), "key long, node binary, n int, lead int, rest int, salts int")
+    entries = entries.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("node"), F.col("salts"))).otherwise(0).cast("int"))
     # another order under every key, so that a node meets other partners under each
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("key", "node"), "node")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ahead = {f"{p}_{c}": F.lead(c, k).over(order) for p, k in (("next", 1), ("far", 2)) for c in ("node", "n", "lead", "rest")}
     entries = entries.select("*", F.lag("node").over(order).alias("before"), F.first("node").over(whole).alias("f"), F.last("node").over(whole).alias("l"), (F.count("*").over(whole) > 2).alias("many"), *[x.alias(c) for c, x in ahead.items()])
-    entries = shared.materialize(entries.where("f <> l").drop("f", "l"), "entries")
+    entries = shared.materialize(entries.where("salts > 1 OR f <> l").drop("f", "l"), "entries")
 
     met = [entries.where(f"node <> {p}_node").where(_may_link(num, den, "", f"{p}_")).select(F.least("node", f"{p}_node").alias("a"), F.greatest("node", f"{p}_node").alias("b")) for p in ("next", "far")]
     tried = met[0].union(met[1]).distinct()
@@ -339,36 +361,43 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 10
     links = _links(tried, d, nodes, n, num, den)
     parts = shared.connected_components(links)
 
-    left = entries.where("many AND (before IS NULL OR before <> node)").select("key", "node", "n", "lead", "rest").join(parts, "node", "left").join(nodes.select("node", *SKETCH), "node")
+    left = entries.where("(many OR salts > 1) AND (before IS NULL OR before <> node)").select("key", "salt", "salts", "node", "n", "lead", "rest")
+    left = left.join(parts.hint("merge"), "node", "left").join(nodes.select("node", *SKETCH).hint("merge"), "node")
     left = left.withColumn("part", F.coalesce("component", "node")).drop("component")
-    x = left.select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
-    y = left.select("key", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
-    on = (x.key == y.key) & (F.col("x_part") != F.col("y_part")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
-    more = x.join(y, on & _may_link(num, den, "x_", "y_") & _sketch_allows(num, den, "x_", "y_", "n")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = _links(_wide_alike(more.join(tried, ["a", "b"], "left_anti"), nodes, num, den), d, nodes, n, num, den)
+    # linked sets are at most one size band apart; only hot keys are dealt by bands
+    band = F.when(F.col("salts") > 1, F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9) if num < den else F.col("n")).otherwise(0).cast("int")
+    left = left.withColumn("band", band)
+    x = left.select("key", "salt", "band", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
+    y = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("band", F.explode(F.when(F.col("salts") > 1, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))))
+    y = y.select("key", "salt", "band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "lead", "rest", "part", *SKETCH)])
+    on = (x.key == y.key) & (x.salt == y.salt) & (x.band == y.band) & (F.col("x_part") != F.col("y_part")) & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_node") < F.col("y_node"))))
+    more = x.join(y.hint("merge"), on & _may_link(num, den, "x_", "y_") & _sketch_allows(num, den, "x_", "y_", "n")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    more = _links(_wide_alike(more.join(tried.hint("merge"), ["a", "b"], "left_anti"), nodes, num, den), d, nodes, n, num, den)
 
     parts = shared.connected_components(links.union(more))
-    labelled = nodes.select("node", "least_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = nodes.select("node", "least_id").join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = shared.materialize(labelled.select("node", "component", F.col("least_id")), "labelled")
     least_ids = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_node = labelled.join(least_ids, "component").select("node", "component_id")
-    # a node with very many copies is one row here, so the hot side is only the summary's; AQE splits that
-    out = summary.drop("text_hash", "wide", *SKETCH).join(by_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    by_node = labelled.join(least_ids, "component").select("node", "component", "component_id")
+    by_node = shared.materialize(by_node, "by_node")
+    out = shared.join_ones(summary.drop("wide", *SKETCH), by_node, "node", shared.hot_keys(nodes, "node", "copies"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "component", "text_hash")
 
 
 def near_duplicate_filter(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest id stays.
+    """docs without all but one document of each group: the one with the smallest id (then text hash) stays.
 
-    Repeated rows with that id are cut to one. Rows with an empty set or a null id are kept.
+    Rows are told apart by id and text, so a text of its own stays whatever else has its id; a row repeated whole is
+    cut to one. Rows with an empty set or a null id are kept. Columns of docs stay as they are, whatever their names.
     """
-    found = ngram_jaccard_join(docs, **how)
-    gone = shared.materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = found.where("doc_id = component_id AND node IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    found = shared.materialize(ngram_jaccard_join(docs, **how).where("node IS NOT NULL AND doc_id IS NOT NULL").select("component", "doc_id", "text_hash"), "found")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"), F.count("*").alias("rows"))
+    first = shared.materialize(first.select("s.*", "rows"), "first")
+    gone = found.select("doc_id", "text_hash").distinct().join(first.select("doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"], "left_anti")
+    kept = shared.without_rows(docs, gone)
+    again = found.groupBy("doc_id", "text_hash").count().where("count > 1").join(first.select("doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text_hash")
     again = shared.materialize(again, "again")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, "doc_id", "left_semi")
-    one = twice.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.xxhash64("text")))).where("_k = 1").drop("_k")
-    return kept.join(again, "doc_id", "left_anti").unionByName(one)
+    once = shared.with_row_key(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return shared.with_row_key(kept, again, "left_anti").unionByName(once)

@@ -8,16 +8,22 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakepress.operators.graph import connected_components, materialize, shared_dir
 
-__all__ = ["connected_components", "materialize", "prepare", "shared_dir", "table"]
+__all__ = ["connected_components", "free", "hot_keys", "join_ones", "materialize", "prepare", "shared_dir", "table", "with_row_key", "without_rows"]
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, and send this package to workers that lack it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Bound Arrow batches by bytes as well as rows, and send this package to workers that lack it.
+
+    The two settings stay with the session, since plans read them when they run; bounds that are lower already stay.
+    """
+    for name, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(name, None)
+        if not (now and now.isdigit() and 0 < int(now) <= bound):
+            spark.conf.set(name, str(bound))
     sc = spark.sparkContext
     if getattr(sc, "_lakepress_sent", None) == sc.applicationId:
         return
@@ -32,3 +38,44 @@ def prepare(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """name, or with underscores behind it so that docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot when it holds at least one row in so many; there are no more hot keys than that.
+HOT_SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The keys that hold at least a 1 / HOT_SHARE of all rows, so at most HOT_SHARE of them; counts has a row for each key."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return materialize(counts.where(F.col(n) * HOT_SHARE >= total).select(key), "hot")
+
+
+def join_ones(many: DataFrame, ones: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """many left-joined with ones, which has a row for each key; the rows of hot keys stay where they are.
+
+    The values of hot keys (at most HOT_SHARE rows) are broadcast; of the other keys none has many rows to shuffle.
+    many is read twice, so it should be stored and narrow.
+    """
+    few = F.broadcast(hot)
+    stay = many.join(F.broadcast(ones.join(few, key, "left_semi")), key)
+    return stay.unionByName(many.join(few, key, "left_anti").join(ones.hint("merge"), key, "left"))
+
+
+def with_row_key(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that are among rows (doc_id, text_hash) or, by `how`, that are not; null ids are equal."""
+    i, h = free(docs, "row_id"), free(docs, "row_hash")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    return docs.join(rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), on, how)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose id and text hash are among gone (doc_id, text_hash): by row, not by id alone."""
+    return with_row_key(docs, materialize(gone.select("doc_id", "text_hash").distinct(), "gone"), "left_anti")

@@ -55,12 +55,16 @@ def test_ngram_join(spark, monkeypatch, num, n, frequent):
     if frequent:  # every token is frequent: only combinations are indexed
         width = (1 << ngram_join.CHUNK_BITS) // 8
 
-        def all_marked(batches):
-            import pyarrow as pa
+        def all_marked(hot_rows):
+            def run(batches):
+                import pyarrow as pa
 
-            for b in batches:
-                for k in b.column("chunk").to_pylist():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b"\xff" * width], pa.binary())], names=["chunk", "marks"])
+                salts = zlib.compress(np.full(8 * width, 3, np.uint16).tobytes())  # and every key is hot
+                for b in batches:
+                    for k in b.column("chunk").to_pylist():
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b"\xff" * width], pa.binary()), pa.array([salts], pa.binary())], names=["chunk", "marks", "salts"])
+
+            return run
 
         monkeypatch.setattr(ngram_join, "SALT_ROWS", 2)
         monkeypatch.setattr(ngram_join, "_outstanding", all_marked)
@@ -78,8 +82,8 @@ def test_ngram_join(spark, monkeypatch, num, n, frequent):
 
 
 def test_large_sets_links_equal_brute_force(spark, monkeypatch):
-    """Sizes on both sides of a wide sketch's band and near the threshold; the sketches are shuffled, not broadcast."""
-    monkeypatch.setattr(ngram_join, "WIDE_BYTES", 0)
+    """Sizes on both sides of a wide sketch's band and near the threshold; keys of more than two entries are hot."""
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 2)
     r = random.Random(11)
     base = [[f"{w}{r.randrange(50)}" for w in prose(i, 1060).split()] for i in range(3)]
     texts = []
