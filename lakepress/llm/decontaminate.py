@@ -12,17 +12,23 @@ found when
 - some window of `window` of its words on the diagonal has at least `window_hits` that agree; where the item or the
   document ends sooner, the window has only the words that both have.
 
-Items under `least_words` words are not searched: words so few occur anywhere by chance.
+Of an item under `whole_under` words so few may differ that any text would do; it is found where all its words stand
+in order. Its seed is its whole phrase.
 
-The benchmark is a stated query set: it is taken in blocks of bounded size (`block_words`), each block goes to
-all tasks, and every document meets every block. Defined results: null or empty texts and items match nothing;
-repeated rows each get their own result; a null id is kept as null.
+The seeds of both sides are joined in Spark. Before, a bitmap of the benchmark's seeds (bounded size, collected from
+its parts) goes to all tasks, and documents send only seeds that are in it; it lets all seeds of the benchmark pass.
+Documents with such seeds are stored with their texts, and meet their candidates once more for the comparison, dealt
+by salts so that no task gets an unbounded list. The seed table is broadcast only when it is counted and small.
+
+Defined results: null or empty texts and items match nothing; repeated rows each get their own result; a null id is
+kept as null; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,12 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .wordhash import ALNUM, Words, combine, slices
+from .wordhash import ALNUM, combine, mix, slices
 
 #: (weight, span) of the families of masks, the most telling first; the last one hits wherever a word agrees.
 FAMILIES = ((4, 6), (3, 5), (2, 3), (1, 1))
-#: Cells of diagonals that are compared at once.
-CELLS = 1 << 20
+#: Seeds of a benchmark that may be broadcast (under 40 bytes each); more are shuffled.
+FEW_SEEDS = 200_000
+#: Bits of the bitmap: so many for each seed, up to a bound.
+BITS_A_SEED, MOST_BITS, CHUNK_BITS = 64, 27, 16
+#: Words of items that one task compares with one document at a time.
+SALT_WORDS = 100_000
 
 
 def family(weight: int, span: int) -> list[str]:
@@ -50,10 +60,16 @@ def sure(n: int, hits: int, weight: int, span: int) -> bool:
     return hits > n // span * (weight - 1) + min(n % span, weight - 1)
 
 
-def masks_for(n: int, share: float, window: int, window_hits: int) -> list[str]:
-    """The masks for an item of n words."""
+def family_of(n: int, share: float, window: int, window_hits: int, whole_under: int) -> int:
+    """Which masks an item of n words takes: the number of a family, or -n for its whole phrase."""
+    if n < whole_under:
+        return -n
     both = (n, math.ceil(share * n)), (min(window, n), window_hits)
-    return next((family(w, s) for w, s in FAMILIES if all(sure(m, hits, w, s) for m, hits in both)), family(*FAMILIES[-1]))
+    return next((k for k, (w, s) in enumerate(FAMILIES) if all(sure(m, hits, w, s) for m, hits in both)), len(FAMILIES) - 1)
+
+
+def masks_of(number: int) -> list[str]:
+    return ["1" * -number] if number < 0 else family(*FAMILIES[number])
 
 
 def mask_places(mask: str) -> list[int]:
@@ -68,47 +84,16 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return combine([h[p : p + n] for p in mask_places(mask)], sum(1 << p for p in mask_places(mask)))
 
 
-class SeedIndex:
-    """The benchmark items of one block: their words' hashes and, sorted, all their seeds."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], share: float, window: int, window_hits: int):
-        self.ids = [i for i, _ in items]
-        self.words = [w for _, w in items]
-        self.size = np.array([len(w) for w in self.words], np.int64)
-        self.flat = np.concatenate(self.words) if self.words else np.zeros(0, np.uint64)
-        by_size = {n: masks_for(n, share, window, window_hits) for n in set(self.size.tolist())}
-        self.masks = sorted({m for ms in by_size.values() for m in ms})
-        found = [(s, k, np.arange(len(s), dtype=np.int32)) for k, w in enumerate(self.words) for m in by_size[len(w)] for s in [seeds(w, m)] if len(s)]
-        key = np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.concatenate([np.full(len(s), k, np.int32) for s, k, _ in found]) if found else np.zeros(0, np.int32)
-        place = np.concatenate([p for _, _, p in found]) if found else np.zeros(0, np.int32)
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], item[order], place[order]
-        self.bits = 20
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.key >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-
-    def hits(self, h: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in h, item, place in item) of every equal seed."""
-        s = seeds(h, mask)
-        at = np.flatnonzero(self.filter[(s >> np.uint64(64 - self.bits)).astype(np.int64)])
-        s = s[at]
-        lo, hi = np.searchsorted(self.key, s), np.searchsorted(self.key, s, "right")
-        n = hi - lo
-        pos = np.repeat(at, n)
-        of = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        return pos, self.item[of], self.place[of]
-
-
-def compare(doc: np.ndarray, item: np.ndarray, shift: int, share: float, window: int, window_hits: int) -> tuple[int, int, int] | None:
+def compare(doc: np.ndarray, item: np.ndarray, shift: int, share: float, window: int, window_hits: int, whole_under: int) -> tuple[int, int, int] | None:
     """(agreeing words, first, last + 1 place in doc) if the item is found on the diagonal."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     if hi <= lo:
         return None
     same = doc[lo + shift : hi + shift] == item[lo:hi]
     n = int(same.sum())
-    found = n >= share * len(item)
-    if not found:
+    whole = len(item) < whole_under
+    found = n == len(item) if whole else n >= share * len(item)
+    if not found and not whole:
         c, reach = np.concatenate(([0], np.cumsum(same))), min(window, len(same))
         found = int((c[reach:] - c[:-reach]).max()) >= window_hits
     if not found or not n:
@@ -117,107 +102,159 @@ def compare(doc: np.ndarray, item: np.ndarray, shift: int, share: float, window:
     return n, lo + shift + int(at[0]), lo + shift + int(at[-1]) + 1
 
 
-def agreeing(h: np.ndarray, at: np.ndarray, index: SeedIndex, row: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """How many words agree on each diagonal, within the document's row."""
-    out = np.zeros(len(row), np.int64)
-    lo, hi = np.maximum(0, at[row] - shift), np.minimum(index.size[item], at[row + 1] - shift)
-    n, begin = np.maximum(hi - lo, 0), np.cumsum(index.size) - index.size
-    cells = np.cumsum(n)
-    a = 0
-    while a < len(row):
-        b = max(a + 1, int(np.searchsorted(cells, (cells[a - 1] if a else 0) + CELLS, "right")))
-        m = n[a:b]
-        of = np.repeat(np.arange(a, b), m)
-        i = lo[of] + np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m)
-        same = h[shift[of] + i] == index.flat[begin[item[of]] + i]
-        out[a:b] = np.bincount(of[same] - a, minlength=b - a)
-        a = b
-    return out
-
-
-def _search(index: SeedIndex, share: float, window: int, window_hits: int):
+def _items(how: tuple):
+    """Items to their words' hashes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = []
+            for w in slices(b.column("text"), ALNUM):
+                h = w.hashes().view(np.int64)
+                words += [h[w.at[r] : w.at[r + 1]] for r in range(w.last - w.first)]
+            size = [len(x) for x in words]
+            kind = [family_of(n, *how) for n in size]
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("item_id"), pa.array(words, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(kind, pa.int32())], names=["item", "item_id", "words", "size", "kind"])
+
+    return run
+
+
+def _seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items to all their seeds."""
+    for b in batches:
+        for item, words, kind in zip(*(b.column(c).to_pylist() for c in ("item", "words", "kind")), strict=True):
+            h = np.array(words, np.int64).view(np.uint64)
+            for m in masks_of(kind):
+                s = seeds(h, m)
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(np.arange(len(s), dtype=np.int64))], names=["key", "item", "place"])
+
+
+def probes(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The two bits of each key in the bitmap."""
+    return [(k >> np.uint64(64 - bits)).astype(np.int64) for k in (key, mix(key ^ np.uint64(0x5851F42D4C957F2D)))]
+
+
+def _probed(bits: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(probes(b.column("key").to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> CHUNK_BITS).astype(np.int32)), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
+
+    return run
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets: dict[int, np.ndarray] = {}
+    for b in batches:
+        chunk, bit = b.column("chunk").to_numpy(), b.column("bit").to_numpy()
+        for k in np.unique(chunk).tolist():
+            sets.setdefault(k, np.zeros(1 << CHUNK_BITS, bool))[bit[chunk == k]] = True
+    for k, x in sets.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["chunk", "bits"])
+
+
+def bitmap(table: DataFrame, n: int) -> tuple[int, bytes]:
+    """(bits, packed bitmap) of the n keys of table; at most 2 ** MOST_BITS bits at any size."""
+    bits = min(MOST_BITS, max(CHUNK_BITS, (BITS_A_SEED * n).bit_length()))
+    out, width = bytearray(1 << (bits - 3)), 1 << (CHUNK_BITS - 3)
+    parts = table.select("key").mapInArrow(_probed(bits), "chunk int, bit int").repartition("chunk").mapInArrow(_packed, "chunk int, bits binary")
+    for r in parts.toLocalIterator():
+        out[r.chunk * width : (r.chunk + 1) * width] = r.bits
+    return bits, bytes(out)
+
+
+_HITS = "row long, doc_id long, text_hash long, text string, hits array<struct<key: long, at: long>>"
+
+
+def _hits(masks: list[str], bits: int, packed: bytes):
+    """Documents with seeds that may be in the benchmark; each gets a number of its own, stored with it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.frombuffer(packed, np.uint8)
+        for b in batches:
+            row, at, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for w in slices(b.column("text"), ALNUM):
+                h = w.hashes()
+                for m in masks:
+                    s = seeds(h, m)
+                    pos = np.arange(len(s))
+                    for k in range(2):
+                        p = probes(s[pos], bits)[k]
+                        pos = pos[(there[p >> 3] >> (7 - (p & 7))) & 1 == 1]
+                    r = np.searchsorted(w.at, pos, "right") - 1
+                    ok = pos + len(m) <= w.at[r + 1]
+                    row.append(w.first + r[ok])
+                    at.append((pos - w.at[r])[ok])
+                    key.append(s[pos[ok]])
+            r = np.concatenate(row)
+            order = np.argsort(r, kind="stable")
+            some, n = np.unique(r, return_counts=True)
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(key)[order].view(np.int64)), pa.array(np.concatenate(at)[order])], names=["key", "at"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pairs)
+            number = secrets.randbits(62) + np.arange(len(some), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number), *(b.column(c).take(pa.array(some)) for c in ("doc_id", "text_hash", "text")), lists], names=["row", "doc_id", "text_hash", "text", "hits"])
+
+    return run
+
+
+_FOUND = "row long, doc_id long, text_hash long, item_id long, n_same long, n_item long, first_char long, end_char long"
+
+
+def _compared(how: tuple):
+    """Documents with a list of candidates each to the ones that are found."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
             rows: list[tuple] = []
+            ids = [b.column(c).to_pylist() for c in names[:3]]
+            lists = b.column("candidates").to_pylist()
             for w in slices(b.column("text"), ALNUM):
-                rows += (
-                    (ids[w.first + r].as_py(), index.ids[k], n, len(index.words[k]), c0, c1)
-                    for r, k, n, c0, c1 in found_in(w, index, share, window, window_hits)
-                )
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(6)], names=["doc_id", "item_id", "n_same", "n_item", "first_char", "end_char"])
+                h, chars = w.hashes(), w.chars()
+                for r in range(w.last - w.first):
+                    a, e, base = int(w.at[r]), int(w.at[r + 1]), chars[w.row_at[r]]
+                    for c in lists[w.first + r]:
+                        words = np.array(c["words"], np.int64).view(np.uint64)
+                        got = compare(h[a:e], words, c["shift"], *how)
+                        if got:
+                            rows.append((*(x[w.first + r] for x in ids), c["item_id"], got[0], len(words), int(chars[w.start[a + got[1]]] - base), int(chars[w.end[a + got[2] - 1]] - base)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(8)], names=names)
 
     return run
 
 
-def found_in(w: Words, index: SeedIndex, share: float, window: int, window_hits: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row in slice, item, agreeing words, first and end code point) for each item and diagonal that is found."""
-    h = w.hashes()
-    if not len(index.ids):
-        return
-    # one number for row, item and diagonal; a diagonal begins up to one item before the slice
-    longest = int(index.size.max())
-    width, codes = len(h) + longest, []
-    for m in index.masks:
-        pos, item, place = index.hits(h, m)
-        row = np.searchsorted(w.at, pos, "right") - 1
-        codes.append(np.unique((row * len(index.ids) + item) * width + (pos - place + longest)))
-    code = np.unique(np.concatenate(codes))
-    if not len(code):
-        return
-    rest, shift = np.divmod(code, width)
-    row, item = np.divmod(rest, len(index.ids))
-    shift -= longest
-    n = agreeing(h, w.at, index, row, item, shift)
-    keep = n >= np.minimum(share * index.size[item], window_hits)
-    chars = None
-    for r, k, d in zip(row[keep].tolist(), item[keep].tolist(), shift[keep].tolist(), strict=True):
-        a, e = int(w.at[r]), int(w.at[r + 1])
-        got = compare(h[a:e], index.words[k], d - a, share, window, window_hits)
-        if got:
-            chars = w.chars() if chars is None else chars
-            base = chars[w.row_at[r]]
-            yield r, k, got[0], int(chars[w.start[a + got[1]]] - base), int(chars[w.end[a + got[2] - 1]] - base)
-
-
-def benchmark_items(benchmark: DataFrame, least_words: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The stated query set, one item at a time."""
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).toLocalIterator():
-        w = next(slices(pa.array([r.t or ""]), ALNUM))
-        if len(w) >= least_words:
-            yield r.i, w.hashes()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, window: int = 16, window_hits: int = 13, least_words: int = 8, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_same, n_item, first_char, end_char): one row per document row and item found, the best diagonal.
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, window: int = 16, window_hits: int = 13, whole_under: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_same, n_item, first_char, end_char, text_hash): one row per document row and item found, the best diagonal.
 
     n_same of the item's n_item words agree; the stretch is first_char..end_char - 1 in code points.
     """
     spark = docs.sparkSession
     shared.prepare(spark)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, n_same long, n_item long, first_char long, end_char long"
-    out, block, size = None, [], 0
-
-    def searched(block):
-        return d.mapInArrow(_search(SeedIndex(block, share, window, window_hits), share, window, window_hits), schema)
-
-    for i, h in benchmark_items(benchmark, least_words):
-        block.append((i, h))
-        size += len(h)
-        if size >= block_words:
-            part = shared.materialize(searched(block), "hits")
-            out, block, size = (part if out is None else out.union(part)), [], 0
-    if block:
-        part = searched(block)
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], schema)
+    how = (share, window, window_hits, whole_under)
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    b = b.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text")
+    items = shared.materialize(b.mapInArrow(_items(how), "item long, item_id long, words array<long>, size long, kind int").where("size > 0"), "items")
+    table = shared.materialize(items.select("item", "words", "kind").mapInArrow(_seeds, "key long, item long, place long"), "seeds")
+    n = table.count()
+    kinds = [r.kind for r in items.select("kind").distinct().collect()]  # a family or a size under whole_under each
+    masks = sorted({m for k in kinds for m in masks_of(k)})
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    found = shared.materialize(d.mapInArrow(_hits(masks, *bitmap(table, n)), _HITS), "hits")
+    hits = found.select("row", F.explode("hits").alias("h")).select("row", "h.*")
+    joined = hits.join(F.broadcast(table) if n <= FEW_SEEDS else table.hint("merge"), "key")
+    candidates = shared.materialize(joined.select("row", "item", (F.col("at") - F.col("place")).alias("shift")).distinct(), "candidates")
+    few = n <= FEW_SEEDS  # every item has about as many words as seeds at least
+    candidates = candidates.join(F.broadcast(items) if few else items.hint("merge"), "item")
+    load = candidates.groupBy("row").agg(F.sum("size").alias("load"))
+    dealt = candidates.join(load.hint("merge"), "row").withColumn("salt", F.pmod(F.xxhash64("item", "shift"), F.ceil(F.col("load") / SALT_WORDS)))
+    lists = dealt.groupBy("row", "salt").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("candidates")).drop("salt")
+    both = found.select("row", "doc_id", "text_hash", "text").join(lists.hint("merge"), "row")
+    out = both.select("row", "doc_id", "text_hash", "text", "candidates").mapInArrow(_compared(how), _FOUND)
     best = F.max(F.struct("n_same", (-F.col("first_char")).alias("f"), F.col("end_char").alias("e"), "n_item")).alias("b")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.n_same", "b.n_item", (-F.col("b.f")).alias("first_char"), F.col("b.e").alias("end_char"))
+    out = out.groupBy("row", "doc_id", "text_hash", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "b.n_same", "b.n_item", (-F.col("b.f")).alias("first_char"), F.col("b.e").alias("end_char"), "text_hash")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those in which a benchmark item is found; rows with a null id stay."""
-    bad = shared.materialize(contamination(docs, benchmark, **how).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti")
+    """docs without the rows in which a benchmark item is found; other rows with the same id stay."""
+    return shared.without_rows(docs, contamination(docs, benchmark, **how))

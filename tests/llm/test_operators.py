@@ -288,21 +288,31 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
-def test_decontamination(spark):
-    items = [prose(100 + i, 25) for i in range(5)] + ["too short", None]
+def test_decontamination(spark, monkeypatch):
+    items = [prose(100 + i, 25) for i in range(5)] + ["too short", None, "", "ONE", *ODD[-1:]]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     swapped = items[1].split()
     for i in (2, 7, 12, 17, 22):
         swapped[i] = "other"
-    texts = [prose(1, 80), prose(2, 40) + " " + items[0].upper() + ", " + prose(3, 40), "start " + " ".join(swapped), prose(4, 30) + " " + " ".join(items[2].split()[:5]) + " " + prose(5, 30), " ".join(items[3].split()[:18]), *ODD]
-    want = {(1, 0), (2, 1), (4, 3)}
+    texts = [prose(1, 80), prose(2, 40) + " " + items[0].upper() + ", " + prose(3, 40), "start " + " ".join(swapped), prose(4, 30) + " " + " ".join(items[2].split()[:5]) + " " + prose(5, 30), " ".join(items[3].split()[:18]), *ODD, "it is Too, short! here", "too many short"]
+    odd = {(i, 8) for i, t in enumerate(texts) if t == "one"} | {(12, 9), (13, 5)}
+    want = {(1, 0), (2, 1), (4, 3)} | odd
     got = decontaminate.contamination(frame(spark, texts), bench).collect()
     assert {(x.doc_id, x.item_id) for x in got} == want
     one = next(x for x in got if x.doc_id == 1)
     assert texts[1][one.first_char : one.end_char] == items[0].upper() and one.n_same == 25
-    small = decontaminate.contamination(frame(spark, texts), bench, block_words=30).collect()
-    assert {(x.doc_id, x.item_id) for x in small} == want
-    assert sorted(x.doc_id for x in decontaminate.without_contaminated(frame(spark, texts), bench).collect()) == [i for i in range(len(texts)) if i not in (1, 2, 4)]
+    monkeypatch.setattr(decontaminate, "FEW_SEEDS", 0)
+    monkeypatch.setattr(decontaminate, "SALT_WORDS", 10)
+    shuffled = decontaminate.contamination(frame(spark, texts), bench).collect()
+    assert sorted(map(tuple, shuffled)) == sorted(map(tuple, got))
+    assert sorted(x.doc_id for x in decontaminate.without_contaminated(frame(spark, texts), bench).collect()) == [i for i in range(len(texts)) if i not in {d for d, _ in want}]
+    # a namesake of a contaminated row stays, a repeated row gets its own result, a null id too
+    rows = [(1, items[0]), (1, texts[0]), (2, items[0]), (2, items[0]), (None, items[1]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "1 AS row_id", "2 AS row_hash", "3 AS item")
+    assert sorted((x.doc_id or 0, x.item_id) for x in decontaminate.contamination(df, bench).collect()) == [(0, 1), (1, 0), (2, 0), (2, 0)]
+    kept = decontaminate.without_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(1, texts[0]), (0, texts[0])])
+    assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert decontaminate.contamination(frame(spark, texts), bench.limit(0)).count() == 0
 
 
@@ -312,15 +322,15 @@ def brute_contamination(texts, items, share=0.6, window=16, window_hits=13):
     out = {}
     for i, k in itertools.product(range(len(texts)), range(len(items))):
         d, w = words(texts[i]), words(items[k])
-        for shift in range(1 - len(w), len(d)) if len(w) >= 8 else ():
+        for shift in range(1 - len(w), len(d)):
             same = [d[shift + j] == w[j] for j in range(max(0, -shift), min(len(w), len(d) - shift))]
-            if sum(same) >= share * len(w) or any(sum(same[j : j + window]) >= window_hits for j in range(len(same))):
+            if (sum(same) == len(w) if len(w) < 8 else sum(same) >= share * len(w)) or len(w) >= 8 and any(sum(same[j : j + window]) >= window_hits for j in range(len(same))):
                 out[i, k] = max(out.get((i, k), 0), sum(same))
     return out
 
 
 def test_decontamination_equals_brute_force_on_all_diagonals(spark):
-    sizes = [8, 9, 10, 11, 13, 15, 16, 17, 19, 20, 22, 25, 30, 36, 44, 59]
+    sizes = [1, 2, 3, 5, 7, 8, 9, 10, 11, 13, 15, 16, 17, 19, 20, 22, 25, 30, 36, 44, 59]
     items = [prose(200 + n, n) for n in sizes]
     r, texts, sure = random.Random(5), [], set()
     for k, item in enumerate(items):
@@ -331,7 +341,7 @@ def test_decontamination_equals_brute_force_on_all_diagonals(spark):
         for at in kept:
             inner = " ".join(x if j in at else "other" for j, x in enumerate(w))
             texts.append(r.choice(("", prose(len(texts), 9) + " ")) + inner + r.choice(("", " " + prose(len(texts) + 1, 7))))
-            if len(at) >= 0.6 * len(w):
+            if len(at) >= 0.6 * len(w) and (len(w) >= 8 or len(at) == len(w)):
                 sure.add((len(texts) - 1, k))
         for n in (12, 13, 15):  # a document that begins or ends within the item
             texts += [prose(len(texts), 20) + " " + " ".join(w[:n]), " ".join(w[-n:]) + " " + prose(len(texts), 20)]
