@@ -118,15 +118,18 @@ class BytePairCoder:
 
 
 def bpe_encode_decode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = True) -> DataFrame:
-    """docs with ids (array of int), n_tokens (long) and, if asked for, decoded (string) added; names must be free."""
+    """docs with ids (array of int), n_tokens (long) and, if asked for, decoded (string) as its last columns.
+
+    A name that docs has already gets underscores behind it; docs' own column stays.
+    """
     shared.prepare(docs.sparkSession)
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.StringType())] * decoded
-    if clash := {f.name for f in new} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    local = shared.ship(docs.sparkSession, path)
+    name = lambda c: shared.free(docs, c)
+    new = [T.StructField(name("ids"), T.ArrayType(T.IntegerType())), T.StructField(name("n_tokens"), T.LongType())] + [T.StructField(name("decoded"), T.StringType())] * decoded
     schema = T.StructType(docs.schema.fields + new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BytePairCoder(path)
+        coder = BytePairCoder(local())
         for whole in batches:
             step = max(1, min(whole.num_rows, 250))
             for at in range(0, whole.num_rows, step):

@@ -37,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .wordhash import ALNUM, combine, mix, slices
+from .bitmaps import bitmap, within
+from .wordhash import ALNUM, combine, slices
 
 #: (weight, span) of the families of masks, the most telling first; the last one hits wherever a word agrees.
 FAMILIES = ((4, 6), (3, 5), (2, 3), (1, 1))
 #: Seeds of a benchmark that may be broadcast (under 40 bytes each); more are shuffled.
 FEW_SEEDS = 200_000
-#: Bits of the bitmap: so many for each seed, up to a bound.
-BITS_A_SEED, MOST_BITS, CHUNK_BITS = 64, 27, 16
 #: Words of items that one task compares with one document at a time.
 SALT_WORDS = 100_000
 
@@ -129,40 +128,6 @@ def _seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), item, np.int64)), pa.array(np.arange(len(s), dtype=np.int64))], names=["key", "item", "place"])
 
 
-def probes(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The two bits of each key in the bitmap."""
-    return [(k >> np.uint64(64 - bits)).astype(np.int64) for k in (key, mix(key ^ np.uint64(0x5851F42D4C957F2D)))]
-
-
-def _probed(bits: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.concatenate(probes(b.column("key").to_numpy().view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> CHUNK_BITS).astype(np.int32)), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
-
-    return run
-
-
-def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[int, np.ndarray] = {}
-    for b in batches:
-        chunk, bit = b.column("chunk").to_numpy(), b.column("bit").to_numpy()
-        for k in np.unique(chunk).tolist():
-            sets.setdefault(k, np.zeros(1 << CHUNK_BITS, bool))[bit[chunk == k]] = True
-    for k, x in sets.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["chunk", "bits"])
-
-
-def bitmap(table: DataFrame, n: int) -> tuple[int, bytes]:
-    """(bits, packed bitmap) of the n keys of table; at most 2 ** MOST_BITS bits at any size."""
-    bits = min(MOST_BITS, max(CHUNK_BITS, (BITS_A_SEED * n).bit_length()))
-    out, width = bytearray(1 << (bits - 3)), 1 << (CHUNK_BITS - 3)
-    parts = table.select("key").mapInArrow(_probed(bits), "chunk int, bit int").repartition("chunk").mapInArrow(_packed, "chunk int, bits binary")
-    for r in parts.toLocalIterator():
-        out[r.chunk * width : (r.chunk + 1) * width] = r.bits
-    return bits, bytes(out)
-
-
 _HITS = "row long, doc_id long, text_hash long, text string, hits array<struct<key: long, at: long>>"
 
 
@@ -177,10 +142,7 @@ def _hits(masks: list[str], bits: int, packed: bytes):
                 h = w.hashes()
                 for m in masks:
                     s = seeds(h, m)
-                    pos = np.arange(len(s))
-                    for k in range(2):
-                        p = probes(s[pos], bits)[k]
-                        pos = pos[(there[p >> 3] >> (7 - (p & 7))) & 1 == 1]
+                    pos = within(s, bits, there)
                     r = np.searchsorted(w.at, pos, "right") - 1
                     ok = pos + len(m) <= w.at[r + 1]
                     row.append(w.first + r[ok])

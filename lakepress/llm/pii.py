@@ -3,17 +3,23 @@
 Base kinds are found by their fixed forms and are the seeds. Looser forms of the same kinds (an address written with
 "(at)", a number without its check digit or country code) are candidates. The one or two words before a seed or
 candidate are its lexical patterns. Spark scores the graph of patterns and instances in rounds: a pattern is as good
-as the mean of its instances (with two more that are none), an instance as good as its patterns together say, seeds
-stay certain. A pattern must also tell: of all places in the corpus where its words stand, a share must lead to an
-instance. Candidates behind high-confidence patterns become spans beside the base ones.
+as the mean of its instances' belief (with two more that are none), and it is accepted if enough of its instances are
+believed and if it tells: of all places in the corpus where its words stand, a share must lead to an instance. Seeds
+stay certain; another instance is as good as its accepted patterns together say. Instances that one round finds
+support patterns in the next, so patterns are found that no seed ever follows. Candidates behind patterns that are
+accepted at last become spans beside the base ones.
 
 Defined results: null and empty texts have no spans; repeated rows each get their own; ids may be null; spans are in
 code points, end exclusive. Base matches are leftmost and do not overlap within a kind; those that fail their test
 are dropped and not tried again. Searches take time in proportion to a text's length, however long its runs.
+Instances and patterns are told apart whole; one that is very long is named by its digest.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shared
+from .bitmaps import bitmap, within
 from .wordhash import ALNUM, combine, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,9 +41,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]|[(\[]at[)\]]")
-_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{1,64})*")
+_LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*")
 _LOOSE_NUMBER = re.compile(r"(?<![A-Za-z0-9.-])\(?[0-9](?:[ ().-]{0,2}[0-9]){5,}(?![A-Za-z0-9])")
-_BEFORE = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+#: Longer instances and patterns are named by their digest.
+NAME = 200
 
 
 def luhn(digits: str) -> bool:
@@ -82,8 +91,11 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     taken = sorted((a, b) for _, a, b in base)
     out = []
 
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+
     def free(a: int, b: int) -> bool:
-        return not any(x < b and a < y for x, y in taken)
+        k = bisect.bisect_left(starts, b)  # base spans that begin before b: the furthest end of them
+        return not k or ends[k - 1] <= a
 
     if "@" in text or "at" in text:
         out += [("email", *m.span()) for m in _LOOSE_EMAIL.finditer(text) if free(*m.span())]
@@ -95,16 +107,23 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     return out
 
 
-def patterns(text: str, start: int) -> list[str]:
-    """One and two words before a place, in lower case."""
-    before = _BEFORE.findall(text[max(0, start - 80) : start].lower())
-    if not before or re.search(r"\S{40}\s*$", text[max(0, start - 80) : start]):
-        return []
-    return [before[-1]] + ([" ".join(before[-2:])] if len(before) > 1 else [])
+def named(s: str) -> str:
+    return s if len(s) <= NAME else "sha256:" + hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def patterns(text: str, places: list[int]) -> list[list[str]]:
+    """For each place in ascending order the one and two words before it, in lower case; the text is gone through once."""
+    out, words, last, two = [], _WORD.finditer(text), None, None
+    ahead = next(words, None)
+    for at in places:
+        while ahead is not None and ahead.end() <= at:
+            two, last, ahead = last, ahead[0].lower(), next(words, None)
+        out.append([named(x) for x in ([last] if last else []) + ([f"{two} {last}"] if two else [])])
+    return out
 
 
 MENTION = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("instance", T.StringType()), T.StructField("seed", T.BooleanType()), T.StructField("patterns", T.ArrayType(T.StringType()))])
-FOUND = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("base", T.StringType()), T.StructField("mentions", T.ArrayType(MENTION))])
+FOUND = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("base", T.StringType()), T.StructField("mentions", T.ArrayType(MENTION))])
 
 
 def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,95 +138,99 @@ def _find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(t)
             loose = candidates(t, base)
             bases.append(join(base))
-            mentions.append([{"kind": k, "start": a, "end": e, "instance": t[a:e].lower()[:200], "seed": s, "patterns": patterns(t, a)} for s, spans in ((True, base), (False, loose)) for k, a, e in spans])
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("key"), pa.array(bases, pa.string()), pa.array(mentions, kind)], names=["row", "doc_id", "key", "base", "mentions"])
+            every = sorted(((a, e, k, s) for s, spans in ((True, base), (False, loose)) for k, a, e in spans))
+            before = patterns(t, [a for a, *_ in every])
+            mentions.append([{"kind": k, "start": a, "end": e, "instance": named(t[a:e].lower()), "seed": s, "patterns": p} for (a, e, k, s), p in zip(every, before, strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("text_hash"), pa.array(bases, pa.string()), pa.array(mentions, kind)], names=["row", "doc_id", "text_hash", "base", "mentions"])
 
 
 def join(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{e}" for k, a, e in spans)
 
 
-def _occurrences(wanted: np.ndarray):
-    """How often each wanted pattern (sorted hashes) stands in the batches' texts."""
+def _windows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of all words and pairs of words, slice by slice."""
+    for w in slices(texts, ALNUM, latin=True):
+        h = w.hashes()
+        yield combine([h], 1)
+        if len(h) > 1:
+            yield combine([h[:-1], h[1:]], 2)
+
+
+def _occurrences(bits: int, packed: bytes):
+    """How often windows stand in the batches' texts that may be wanted ones, as the bitmap has them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
+        there = np.frombuffer(packed, np.uint8)
         for b in batches:
-            for w in slices(b.column("text"), ALNUM, latin=True):
-                h = w.hashes()
-                for g in (combine([h], 1), combine([h[:-1], h[1:]], 2) if len(h) > 1 else h[:0]):
-                    k = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-                    total += np.bincount(k[wanted[k] == g], minlength=len(wanted))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[at].view(np.int64)), pa.array(total[at])], names=["h", "n"])
+            found = []
+            for g in _windows(b.column("text")):
+                found.append(g[within(g, bits, there)])
+            h, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     return run
 
 
-def pattern_hash(p: str) -> int:
+def _pattern_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h = [pattern_hash(p) for p in b.column("pattern").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("pattern"), pa.array(h, pa.int64())], names=["pattern", "key"])
+
+
+def pattern_hash(p: str) -> int | None:
+    """The hash of a pattern's window; none for a pattern that is named by its digest."""
     w = next(slices(pa.array([p]), ALNUM, latin=True)).hashes()
-    return int(combine([w[i : i + 1] for i in range(len(w))], len(w)).view(np.int64)[0]) if 1 <= len(w) <= 2 else 0
+    return int(combine([w[i : i + 1] for i in range(len(w))], len(w)).view(np.int64)[0]) if 1 <= len(w) <= 2 and len(p) <= NAME else None
+
+
+def standings(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """(pattern, standing): how often each pattern's words stand in the corpus (text), counted in one pass."""
+    keys = shared.materialize(edges.select("pattern").distinct().mapInArrow(_pattern_hashes, "pattern string, key long").where("key IS NOT NULL"), "patterns")
+    bits, packed = bitmap(keys, keys.count())
+    counts = texts.mapInArrow(_occurrences(bits, packed), "h long, n long").groupBy("h").agg(F.sum("n").alias("standing"))
+    return shared.materialize(keys.join(counts.hint("merge"), F.col("key") == F.col("h")).select("pattern", "standing"), "standing")
+
 
+def score_patterns(edges: DataFrame, standing: DataFrame, confidence: float, seeds: int, telling: float, rounds: int) -> DataFrame:
+    """(kind, pattern, confidence, n_seeds, n_mentions) of the patterns accepted after some rounds.
 
-def score_patterns(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(kind, pattern, confidence, n_seeds, n_mentions) from edges (kind, pattern, instance, seed, n)."""
-    instances = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    edges: (kind, pattern, instance, seed, n); n_seeds counts instances believed at least to a half, seeds or not.
+    """
+    edges = shared.materialize(edges.join(standing.hint("merge"), "pattern"), "edges")
+    beliefs = edges.groupBy("kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    good = None
     for _ in range(rounds):
-        scored = edges.join(instances, ["kind", "instance"]).groupBy("kind", "pattern").agg(
-            (F.sum("belief") / (F.count("*") + 2)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("n_seeds"), F.sum("n").alias("n_mentions")
+        scored = edges.join(beliefs.hint("merge"), ["kind", "instance"]).groupBy("kind", "pattern").agg(
+            (F.sum("belief") / (F.count("*") + 2)).alias("confidence"), F.count(F.when(F.col("belief") >= 0.5, 1)).alias("n_seeds"), F.sum("n").alias("n_mentions"), F.max("standing").alias("standing")
         )
-        scored = shared.materialize(scored, "patterns")
+        good = shared.materialize(scored.where((F.col("confidence") >= confidence) & (F.col("n_seeds") >= seeds) & (F.col("n_mentions") >= telling * F.col("standing"))), "good")
         doubt = F.exp(F.sum(F.log(1 - F.least(F.lit(0.95), F.col("confidence")))))
-        instances = edges.join(scored, ["kind", "pattern"]).groupBy("kind", "instance").agg(F.when(F.max(F.col("seed").cast("int")) == 1, 1.0).otherwise((1 - doubt) * 0.8).alias("belief"))
-        instances = shared.materialize(instances, "instances")
-    return scored
-
+        after = edges.join(good.select("kind", "pattern", "confidence").hint("merge"), ["kind", "pattern"], "left").groupBy("kind", "instance")
+        beliefs = shared.materialize(after.agg(F.when(F.max(F.col("seed").cast("int")) == 1, 1.0).otherwise((1 - F.coalesce(doubt, F.lit(1.0))) * 0.95).alias("belief")), "beliefs")
+    return good
 
-def find_personal_data(docs: DataFrame, confidence: float = 0.6, seeds: int = 3, telling: float = 0.3, rounds: int = 3, block: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, patterns): rows has row, doc_id, key (a hash of id and text), base and spans; patterns the accepted ones.
 
-    The patterns whose corpus frequency is counted go to the tasks in blocks of bounded size.
-    """
+def find_personal_data(docs: DataFrame, confidence: float = 0.6, seeds: int = 3, telling: float = 0.3, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, patterns): rows has row, doc_id, text_hash, base and spans; patterns the accepted ones."""
     spark = docs.sparkSession
     shared.prepare(spark)
-    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     found = shared.materialize(d.mapInArrow(_find, FOUND), "found")
     mentions = found.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = mentions.select("kind", "instance", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     edges = shared.materialize(edges, "edges")
-    scored = score_patterns(edges, rounds).where((F.col("confidence") >= confidence) & (F.col("n_seeds") >= seeds))
-    # only patterns that lead to something new matter
-    fresh = edges.where("NOT seed").select("kind", "pattern").distinct()
-    scored = shared.materialize(scored.join(fresh, ["kind", "pattern"], "left_semi"), "scored")
-    counts = None
-    names: list[tuple[int, str]] = []
-
-    def counted(part):
-        h = np.unique(np.array([x for x, _ in part], np.int64)).view(np.uint64)
-        by = spark.createDataFrame(part, "h long, pattern string")
-        n = docs.select(F.col(text_col).alias("text")).mapInArrow(_occurrences(np.sort(h)), "h long, n long").groupBy("h").agg(F.sum("n").alias("standing"))
-        return shared.materialize(by.join(n, "h", "left").select("pattern", F.coalesce("standing", F.lit(0)).alias("standing")), "standing")
-
-    for r in scored.select("pattern").distinct().toLocalIterator():
-        if h := pattern_hash(r.pattern):
-            names.append((h, r.pattern))
-        if len(names) >= block:
-            part = counted(names)
-            counts, names = (part if counts is None else counts.union(part)), []
-    if names:
-        part = counted(names)
-        counts = part if counts is None else counts.union(part)
-    if counts is None:
-        return found.select("row", "doc_id", "key", "base", F.col("base").alias("spans")), scored
-    good = scored.join(counts, "pattern").where(F.col("n_mentions") >= telling * F.col("standing"))
-    good = shared.materialize(good, "good")
-    new = mentions.where("NOT seed").select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(good.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
+    # only patterns with enough instances can ever be accepted
+    able = edges.groupBy("kind", "pattern").count().where(F.col("count") >= seeds).select("kind", "pattern")
+    able = shared.materialize(edges.join(able.hint("merge"), ["kind", "pattern"], "left_semi"), "able")
+    good = score_patterns(able, standings(able, docs.select(F.col(text_col).alias("text"))), confidence, seeds, telling, rounds)
+    new = mentions.where("NOT seed").select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(good.select("kind", "pattern").hint("merge"), ["kind", "pattern"], "left_semi")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    spans = mentions.where("seed").select("row", "kind", "start", "end").union(new.select("row", "kind", "start", "end")).distinct()
-    touched = new.select("row").distinct()
-    spans = spans.join(touched, "row", "left_semi").select("row", F.struct(rank.alias("r"), "start", "end", "kind").alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    new = shared.materialize(new.select("row", "kind", "start", "end").distinct(), "new")
+    spans = mentions.where("seed").select("row", "kind", "start", "end").join(new.select("row").distinct().hint("merge"), "row", "left_semi").union(new)
+    spans = spans.select("row", F.struct(rank.alias("r"), "start", "end", "kind").alias("s")).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("s"))
     spans = spans.select("row", F.array_join(F.transform("s", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",").alias("more"))
-    return found.join(spans, "row", "left").select("row", "doc_id", "key", "base", F.coalesce("more", "base").alias("spans")), good
+    return found.join(spans.hint("merge"), "row", "left").select("row", "doc_id", "text_hash", "base", F.coalesce("more", "base").alias("spans")), good
 
 
 def mask(text: str, spans: str) -> str:
@@ -222,17 +245,18 @@ def mask(text: str, spans: str) -> str:
 
 
 def without_personal_data(docs: DataFrame, **how) -> DataFrame:
-    """docs with personal data masked in text, and n_chars, where it is there, made to fit."""
+    """docs with personal data masked in text, and n_chars, where it is there, made to fit; other columns stay as they are."""
     rows, _ = find_personal_data(docs, **how)
-    some = shared.materialize(rows.where("spans <> ''").select("key", "spans").dropDuplicates(["key"]), "spans")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    hit = keyed.join(some.withColumnRenamed("key", "_key"), "_key", "left").withColumnRenamed("spans", "_spans").drop("_key")
+    some = shared.materialize(rows.where("spans <> ''").select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]), "spans")
     schema = docs.schema
-    names = schema.names
+    names, at = schema.names, shared.free(docs, "spans")
+    i, h = shared.free(docs, "row_id"), shared.free(docs, "row_hash")
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    hit = docs.join(some.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(at)), on, "left").drop(i, h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, text = b.column("_spans").to_pylist(), b.column("text")
+            spans, text = b.column(at).to_pylist(), b.column("text")
             if any(spans):
                 new = [mask(t, s) if s else t for t, s in zip(text.to_pylist(), spans, strict=True)]
                 b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(new, text.type))

@@ -16,12 +16,9 @@ def tokenizer_file(name: str) -> str:
     folder = os.environ.get("LAKEPRESS_TOKENIZERS")
     if folder:
         return os.path.join(folder, name)
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +55,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared.shared_dir(spark)}/lakepress/warc-{uuid.uuid4().hex}"
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, folder)
+    return warc.read_archives(pages.select("page_id", "url"), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

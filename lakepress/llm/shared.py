@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakepress.operators.graph import connected_components, materialize, shared_dir
 
-__all__ = ["connected_components", "free", "hot_keys", "join_ones", "materialize", "prepare", "shared_dir", "table", "with_row_key", "without_rows"]
+__all__ = ["connected_components", "free", "hot_keys", "join_ones", "materialize", "prepare", "shared_dir", "ship", "table", "with_row_key", "without_rows"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -40,6 +42,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession, path: str) -> Callable[[], str]:
+    """A function that gives a driver's file's place in a task: the same path where it exists, else the copy sent along."""
+    if getattr(spark.sparkContext, "_lakepress_files", None) is None:
+        spark.sparkContext._lakepress_files = set()
+    if path not in spark.sparkContext._lakepress_files:
+        spark.sparkContext.addFile(path)
+        spark.sparkContext._lakepress_files.add(path)
+    name = os.path.basename(path)
+
+    def local() -> str:
+        return path if os.path.exists(path) else SparkFiles.get(name)
+
+    return local
+
+
 def free(docs: DataFrame, name: str) -> str:
     """name, or with underscores behind it so that docs has no such column."""
     taken = {c.lower() for c in docs.columns}

@@ -2,8 +2,10 @@
 
 The key of a count is the SHA-256 of the normalised content together with a digest of the tokenizer's file and
 handling. Digests of all rows are joined with the stored counts; of those that miss, one row each is encoded, the
-new counts are appended to the cache, and all rows get their counts from it. Only keys meet in the grouping: texts
-move once, dealt by their own row's key, so many copies of one text are no hot group.
+new counts are appended to the cache, and all rows get their counts from it. Only keys meet in the grouping. Texts stay
+where they are read, but for those whose digest shares a bucket with a digest that has copies or is stored already:
+only these can be left out, and they are joined with the misses. Digests with very many copies, of which there can only
+be few, get their counts by a broadcast; so copies are no hot group.
 
 The normaliser keeps what a tokenizer can tell apart, so it only takes null for the empty text.
 Within a task, counts of white-space-led units are kept: in a vocabulary where the space mark occurs only at the
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SCHEMA = "digest string, tokenizer string, n_tokens long"
+#: Buckets of digests: those with copies go to all tasks as numbers.
+BUCKETS = 1 << 20
 #: Units kept with their counts in one task.
 MEMO = 1_000_000
 
@@ -77,9 +81,9 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return by_units
 
 
-def _count(path: str):
+def _count(local: Callable[[], str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(local())
         for b in batches:
             n = count([t or "" for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
@@ -92,9 +96,10 @@ def cached_token_counts(docs: DataFrame, path: str, cache: str, limit: int = 409
     spark = docs.sparkSession
     shared.prepare(spark)
     version = tokenizer_version(path)
+    local = shared.ship(spark, path)
     content = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.sha2(content, 256).alias("digest"), content.alias("text"))
-    keys = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    keys = shared.materialize(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "keys")
     try:
         stored = spark.read.schema(SCHEMA).parquet(cache)
         stored.limit(0).count()
@@ -102,13 +107,19 @@ def cached_token_counts(docs: DataFrame, path: str, cache: str, limit: int = 409
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], SCHEMA)
-    known = stored.where(F.col("tokenizer") == version).select("digest")
-    misses = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
-    misses = shared.materialize(misses.select("digest", "doc_id"), "misses")
-    one = keyed.alias("k").join(misses.alias("m"), (F.col("k.digest") == F.col("m.digest")) & F.col("k.doc_id").eqNullSafe(F.col("m.doc_id")), "left_semi")
-    new = one.select("digest", "text").mapInArrow(_count(path), "digest string, n_tokens long")
+    known = stored.where(F.col("tokenizer") == version).select("digest").distinct().withColumn("known", F.lit(True))
+    groups = keys.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")).join(known.hint("merge"), "digest", "left")
+    groups = shared.materialize(groups, "groups")
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS))
+    unsure = F.broadcast(groups.where("copies > 1 OR known").select(bucket.alias("bucket")).distinct())  # BUCKETS rows at most
+    dealt = keyed.select("doc_id", "digest", "text", bucket.alias("bucket"))
+    misses = groups.where("known IS NULL").select("digest", "least_id").hint("merge")
+    at_home = dealt.join(unsure, "bucket", "left_anti").select("digest", "text")
+    moved = dealt.join(unsure, "bucket", "left_semi").join(misses, "digest").where(F.col("doc_id").eqNullSafe(F.col("least_id"))).select("digest", "text")
+    new = at_home.union(moved).mapInArrow(_count(local), "digest string, n_tokens long")
     new.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens")).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # concurrent runs may have stored one twice
-    out = keys.join(counts, "digest", "left")
+    counts = shared.materialize(counts, "counts")
+    out = shared.join_ones(keys, counts, "digest", shared.hot_keys(groups, "digest", "copies"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

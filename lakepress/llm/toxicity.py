@@ -225,7 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows
     picked = known.where("toxic = 1").orderBy(key, "doc_id").limit(toxic_rows).union(known.where("toxic = 0").orderBy(key, "doc_id").limit(clean_rows))
     picked = shared.materialize(picked, "sample")  # toxic_rows + clean_rows small rows at most
     rows = docs.select("doc_id", "text").where(F.length("text") <= row_chars).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect())  # bounded by rows and row_chars
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("r"))  # of a repeated id always the same row
+    rows = sorted(one.select("doc_id", "r.text", "r.toxic").collect())  # bounded by rows and row_chars
     texts, toxic = [r.text for r in rows], np.array([r.toxic for r in rows], float)
     if not len(toxic) or toxic.min() == toxic.max():
         model = Field(np.zeros(0, np.uint64))
@@ -239,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 1200, clean_rows
 
 
 def toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, spans, n_toxic) per row; spans: start:end of toxic words in code points, end exclusive, comma-joined."""
+    """(doc_id, score, spans, n_toxic, text_hash) per row; spans: start:end of toxic words in code points, end exclusive, comma-joined."""
     shared.prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +259,10 @@ def toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: st
                         chars = w.chars() if chars is None else chars
                         base = chars[w.row_at[r]]
                         spans[i] = ",".join(f"{chars[w.start[k]] - base}:{chars[w.end[k]] - base}" for k in bad)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(spans, pa.string()), pa.array(count)], names=["doc_id", "score", "spans", "n_toxic"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array(spans, pa.string()), pa.array(count), b.column("text_hash")], names=["doc_id", "score", "spans", "n_toxic", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, spans string, n_toxic long")
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    return d.mapInArrow(run, "doc_id long, score double, spans string, n_toxic long, text_hash long")
 
 
 def held_out(doc_id="doc_id"):
@@ -269,7 +271,6 @@ def held_out(doc_id="doc_id"):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs whose score is under the threshold; rows with a null id stay."""
+    """docs without the rows whose score reaches the threshold; other rows with the same id stay."""
     model = train(docs, labels.where(~held_out()))
-    bad = shared.materialize(toxicity(docs, model).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
-    return docs.join(bad, "doc_id", "left_anti")
+    return shared.without_rows(docs, toxicity(docs, model).where(F.col("score") >= threshold))

@@ -1,5 +1,6 @@
 """Corpus operators against brute force on small tables, with nulls, empty and long texts, ties and repeated rows."""
 
+import base64
 import hashlib
 import itertools
 import os
@@ -10,7 +11,9 @@ import zlib
 import numpy as np
 import pytest
 
-from lakepress.llm import bpe, decontaminate, html_text, licenses, ngram_join, pii, quality, token_cache, toxicity, warc
+from pyspark.sql import functions as F
+
+from lakepress.llm import bpe, decontaminate, html_text, licenses, ngram_join, pii, quality, shared, token_cache, toxicity, warc
 from lakepress.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +141,34 @@ def test_context_finds_new_identifiers(spark):
     assert pii.mask("abcdef", "ip:1:3,card:2:4") == "a<IP>ef"
 
 
+def test_found_instances_bootstrap_further(spark):
+    """Numbers that a pattern of seeds finds are the only support of another pattern, which finds more."""
+    texts = [f"please ring hotline +1 803 555 53{i} today {prose(i, 30)}" for i in range(10, 40)]
+    texts += [f"please ring hotline 803 555 12{i} now" for i in range(10, 20)]
+    texts += [f"switchboard 803 555 12{i} is open" for i in range(10, 20)] + ["switchboard 803 777 9999 is shut", "x" * 3000 + " 803 777 0000"]
+    rows, good = pii.find_personal_data(frame(spark, texts))
+    assert {"hotline", "switchboard"} <= {x.pattern for x in good.collect()}
+    spans = {x.doc_id: x.spans for x in rows.collect()}
+    assert spans[50] == "phone:12:24" and spans[51] == ""
+    once, _ = pii.find_personal_data(frame(spark, texts), rounds=1)
+    assert {x.doc_id: x.spans for x in once.collect()}[50] == ""
+    assert pii.patterns("x" * 500 + " a 1", [503]) == [["a", pii.named("x" * 500 + " a")]]
+    # candidates beside many base spans take time in proportion
+    many = "a@b.c 803 555 1234 " * 20_000
+    base = pii.base_spans(many)
+    assert len(base) == 20_000 == len([c for c in pii.candidates(many, base) if c[0] == "phone"])
+    long = "a" * 300 + " (at) " + "b" * 100 + " dot"
+    assert pii.candidates(long, [])[0] == ("email", 0, 406)
+
+
+def test_mask_stage_keeps_other_columns(spark):
+    t = "mail me at a@b.c now"
+    df = spark.createDataFrame([(1, t, 5), (1, t, 5), (1, "clean", 6), (None, t, 7), (2, None, 8)], "doc_id long, text string, spans int").selectExpr("*", "1 AS row_id", "2 AS row_hash", "length(text) AS n_chars")
+    out = pii.without_personal_data(df)
+    assert out.columns == df.columns
+    assert sorted((x.doc_id or 0, x.text or "", x.spans, x.n_chars or 0) for x in out.collect()) == sorted([(1, "mail me at <EMAIL> now", 5, 22), (1, "mail me at <EMAIL> now", 5, 22), (1, "clean", 6, 5), (0, "mail me at <EMAIL> now", 7, 22), (2, "", 8, 0)])
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -149,6 +180,9 @@ def test_bpe_equals_the_library(spark):
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
         assert own.encode(t) == ids and own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
+    clash = bpe.bpe_encode_decode(frame(spark, ["one"]).withColumn("ids", F.lit(1)), path)
+    assert clash.columns == ["doc_id", "text", "n", "ids", "ids_", "n_tokens", "decoded"] and clash.first().ids == 1
+    assert bpe.bpe_encode_decode(frame(spark, ODD).limit(0), path).count() == 0
     got = bpe.bpe_encode_decode(frame(spark, ODD), path).select("doc_id", "ids", "n_tokens", "decoded", bpe.ids_digest("ids").alias("h")).collect()
     for x in got:
         t = ODD[x.doc_id] or ""
@@ -175,6 +209,10 @@ def test_toxicity(spark):
     a, e = map(int, out[0].spans.split(",")[0].split(":"))
     assert texts[0][a:e] in bad
     assert all(0 <= x.score <= 1 for x in out.values()) and out[300].score == out[301].score < 0.5
+    again = df.union(frame(spark, [prose(900 + i, 40) for i in range(30)]))  # ids 0 to 29 stand for two texts each
+    kept = toxicity.without_toxic(again.withColumn("row_hash", F.lit(3)), labels).collect()
+    assert {x.text for x in kept} >= {prose(900 + i, 40) for i in range(30)} and not {x.text for x in kept} & {texts[i] for i in held if i % 3 == 0}
+    assert toxicity.toxicity(df.limit(0), model).count() == 0 and len(toxicity.toxicity(df.select(F.lit(None).cast("long").alias("doc_id"), "text"), model).collect()) == df.count()
     nobody = toxicity.train(df, labels.limit(0))
     assert max(x.score for x in toxicity.toxicity(df, nobody).collect()) < 0.01
 
@@ -257,7 +295,7 @@ def test_html_marks_do_not_choose_alone():
         assert html_text.main_text(f"<html><body>{body}</body></html>") == "\n".join(want), name
 
 
-def test_token_cache(spark, tmp_path):
+def test_token_cache(spark, tmp_path, monkeypatch):
     import sentencepiece
 
     path = tokenizer_file("piece_bpe_32k.model")
@@ -270,22 +308,43 @@ def test_token_cache(spark, tmp_path):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 20)
     stored = spark.read.parquet(cache).count()
     assert stored == len({t or "" for t in texts})
+    monkeypatch.setattr(token_cache, "BUCKETS", 2)  # digests without copies share buckets with those that have them
+    copies = spark.createDataFrame([(None, "same")] * 30 + [(3, "same"), (3, "other"), (None, None)], "doc_id long, text string")
+    some = token_cache.cached_token_counts(copies, path, f"{cache}2").collect()
+    assert len(some) == 33 and spark.read.parquet(f"{cache}2").count() == 3 and {x.n_tokens for x in some if x.n_bytes == 4} == {len(lib.encode("same"))}
+    assert token_cache.cached_token_counts(copies.limit(0), path, f"{cache}3").count() == 0
     again = token_cache.cached_token_counts(frame(spark, [*texts, "new"]), path, cache).collect()
     assert len(again) == len(texts) + 1 and spark.read.parquet(cache).count() == stored + 1
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     rows = [(5, "http://www.a.com/x?q=1", "<p>é</p>"), (3, "http://b.org/", "<p>é</p>"), (9, None, None), (4, "not a url\n", ""), (7, "https://a.com/x#f", "other"), (7, "https://a.com/x", "other")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"
     warc.write_archives(df, folder)
-    got = sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.read_archives(spark, folder).collect())
+    got = sorted((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.read_archives(df, folder).collect())
     assert got == [(3, 9, "response", None), (4, 0, "response", None), (5, 9, "revisit", 3), (7, 5, "response", None), (7, 5, "response", None), (9, 0, "revisit", 4)]
-    index = warc.CaptureIndex(spark, folder)
+    index = warc.CaptureIndex(folder)
     assert [h["WARC-Page-ID"] for h, _ in index.lookup("http://b.org/")] == ["3"] and len(index.lookup("https://a.com/x")) == 2 and index.lookup("http://none.io/") == []
     assert warc.url_key("http://www.a.com/x?q=1") == "com,a)/x?q=1"
     warc.write_archives(df.limit(0), f"file://{tmp_path}/e")
-    assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
+    assert warc.read_archives(df, f"file://{tmp_path}/e").count() == 0
+    # small blocks and parts; many captures of one key; null ids, urls and payloads; repeated rows
+    monkeypatch.setattr(warc, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(warc, "DIRECTORY_ROWS", 2)
+    monkeypatch.setattr(shared, "HOT_SHARE", 3)
+    r = random.Random(4)
+    rows = [(r.choice((None, *range(40))), r.choice((None, "http://a.com/", f"http://b{r.randrange(9)}.org/\t{r.randrange(3)}")), r.choice((None, "", "same", f"p{r.randrange(12)}"))) for _ in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/m"
+    warc.write_archives(df.withColumn("first_id", F.lit(1)).withColumn("d", F.lit(2)), folder)
+    got = [(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.read_archives(df, folder).collect()]
+    least = {}
+    for i, _, h in rows:
+        least[h or ""] = min((x for x in (i, least.get(h or "")) if x is not None), default=None)
+    again = lambda i, h: least[h or ""] if least[h or ""] is not None and i != least[h or ""] else None
+    want = [(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if again(i, h) is None else "revisit", again(i, h)) for i, _, h in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_decontamination(spark, monkeypatch):
