@@ -34,7 +34,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids and n_tokens; the text is what the ids decode to."""
     out = bpe.bpe_encode_decode(docs, tokenizer_file("byte_bpe_50k.json"))
-    return out.withColumn("text", out.decoded).drop("decoded")
+    decoded = out.columns[-1]  # under another name if docs has a column decoded
+    return out.withColumn("text", out[decoded]).drop(decoded)
 
 
 STAGES = [
