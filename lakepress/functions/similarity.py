@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pivots of a cosine join.
+PIVOTS = 16
+
 
 def trigrams(c: Column) -> Column:
     """The set of trigrams of lower-case words, each with two blanks before and one behind."""
@@ -19,26 +25,26 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, both / union).otherwise(0.0)
 
 
-def trigram_join(df: DataFrame, key: str, text: str, above: float, block: list[str] = (), extra: Column | None = None) -> DataFrame:
+def trigram_join(df: DataFrame, key: str, text: str, above: float, block: list[str] = (), extra: Column | None = None, carry: list[str] = ()) -> DataFrame:
     """(id_1, id_2, sim) for pairs id_1 < id_2 of one block with similarity over a threshold.
 
     Prefix filter: sets with similarity over t share one of their first n - ceil(t n) + 1 trigrams in an order
-    that puts rare ones first, so only those are indexed. `extra` is a condition on columns a.x and b.x.
+    that puts rare ones first, so only those are indexed. Size, block and `extra`, a condition on the columns a.x and
+    b.x that `carry` names, are tested in the join of the index, before any set is brought along.
     """
-    block = list(block)
-    sets = df.withColumn("_g", trigrams(F.col(text))).where(F.size("_g") > 0)
+    block, carry = list(block), list(carry)
+    sets = df.select(key, *[c for c in dict.fromkeys([*block, *carry]) if c != key], trigrams(F.col(text)).alias("_g")).where(F.size("_g") > 0)
     flat = sets.select(key, F.explode("_g").alias("g"))
     rank = flat.groupBy("g").count()  # bounded by the number of distinct trigrams
     ordered = flat.join(rank, "g").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("o"))
     keep = F.size("o") - F.ceil(F.size("o") * F.lit(above)).cast("int") + 1
-    prefix = ordered.select(key, F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.least(F.size("o"), keep)))).alias("p")).select(key, F.col("p.g").alias("g"))
-    index = prefix.join(sets.select(key, *block), key)
+    prefix = ordered.select(key, F.size("o").alias("_m"), F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.least(F.size("o"), keep)))).alias("p")).select(key, "_m", F.col("p.g").alias("g"))
+    index = prefix.join(sets.drop("_g"), key)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block]
-    pairs = index.alias("a").join(index.alias("b"), [F.col("a.g") == F.col("b.g"), *same, F.col(f"a.{key}") < F.col(f"b.{key}")])
-    pairs = pairs.select(F.col(f"a.{key}").alias("id_1"), F.col(f"b.{key}").alias("id_2")).distinct()
+    size = F.least("a._m", "b._m") > above * F.greatest("a._m", "b._m")
+    on = [F.col("a.g") == F.col("b.g"), *same, F.col(f"a.{key}") < F.col(f"b.{key}"), size, *([extra] if extra is not None else [])]
+    pairs = index.alias("a").join(index.alias("b"), on).select(F.col(f"a.{key}").alias("id_1"), F.col(f"b.{key}").alias("id_2")).distinct()
     out = pairs.join(sets.alias("a"), F.col("id_1") == F.col(f"a.{key}")).join(sets.alias("b"), F.col("id_2") == F.col(f"b.{key}"))
-    if extra is not None:
-        out = out.where(extra)
     return out.select("id_1", "id_2", trigram_similarity(F.col("a._g"), F.col("b._g")).alias("sim")).where(F.col("sim") > above)
 
 
@@ -50,10 +56,34 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def cosine_join(df: DataFrame, key: str, vector: str, above: float, block: list[str]) -> DataFrame:
-    """(id_1, id_2, cos) for pairs of one block; vectors are brought to length 1 once, so a pair costs one product."""
+def cosine_join(df: DataFrame, key: str, vector: str, above: float, block: list[str] = ()) -> DataFrame:
+    """(id_1, id_2, cos) for pairs id_1 < id_2 of one block with a cosine over a threshold; every such pair.
+
+    A few vectors are pivots, and each vector has the cell of its nearest pivot. Angles obey the triangle inequality,
+    so a vector can only be near to members of cells whose pivot is no further from it than the cell's radius and the
+    threshold's angle together; it is sent to these. Pivots are a sample of bounded size (`PIVOTS` rows of lowest key
+    hash); they decide how much is compared, never what is found.
+    """
+    from ..operators.graph import materialize
+
+    block = list(block)
     unit = df.withColumn("_n", F.sqrt(dot(F.col(vector), F.col(vector)))).where("_n > 0")
     unit = unit.select(key, *block, F.transform(vector, lambda x: x.cast("double") / F.col("_n")).alias("_u"))
-    a, b = unit.alias("a"), unit.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block] + [F.col(f"a.{key}") < F.col(f"b.{key}")]
-    return a.join(b, on).select(F.col(f"a.{key}").alias("id_1"), F.col(f"b.{key}").alias("id_2"), dot(F.col("a._u"), F.col("b._u")).alias("cos")).where(F.col("cos") > above)
+    pivots = [r["_u"] for r in unit.orderBy(F.xxhash64(key), key).limit(PIVOTS).collect()]
+    if not pivots:
+        return unit.select(F.col(key).alias("id_1"), F.col(key).alias("id_2"), F.lit(0.0).alias("cos")).limit(0)
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    angles = F.transform(constant(pivots, "array<array<double>>"), lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("_u"), p)))))
+    far = unit.withColumn("_a", angles).withColumn("_home", F.array_position("_a", F.array_min("_a")).cast("int"))
+    far = materialize(far, "angles")  # so that no angle is worked out again for each cell
+    radius = {r["_home"]: r["r"] for r in far.groupBy("_home").agg(F.max(F.array_min("_a")).alias("r")).collect()}  # PIVOTS rows at most
+    wide = math.acos(max(-1.0, min(1.0, above))) + 1e-6
+    bound = constant([radius[k + 1] + wide if k + 1 in radius else -1.0 for k in range(len(pivots))], "array<double>")
+    cells = F.filter(F.sequence(F.lit(1), F.lit(len(pivots))), lambda i: F.element_at("_a", i) <= F.element_at(bound, i))
+    sent = far.withColumn("_cell", F.explode(cells))
+    a, b = far.select(*block, key, "_u", "_home").alias("a"), sent.select(*block, key, "_u", "_home", "_cell").alias("b")
+    once = (F.col("a._home") < F.col("b._home")) | ((F.col("a._home") == F.col("b._home")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in block] + [F.col("a._home") == F.col("b._cell"), once]
+    x, y = F.col(f"a.{key}"), F.col(f"b.{key}")
+    out = a.join(b, on).select(F.least(x, y).alias("id_1"), F.greatest(x, y).alias("id_2"), dot(F.col("a._u"), F.col("b._u")).alias("cos"))
+    return out.where(F.col("cos") > above)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import trigram_join
+from ..functions.similarity import trigram_join, trigram_similarity, trigrams
 
 
 def crowd_temperature(comments: DataFrame, media: DataFrame, as_of: Column, days: int = 999, tau_days: float = 7.0) -> DataFrame:
@@ -22,23 +22,49 @@ def crowd_temperature(comments: DataFrame, media: DataFrame, as_of: Column, days
     out = g.join(bots, "country_code").join(mode, "country_code").join(latest, "country_code", "left")
     t = F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col("t")))
     r = lambda c, n: F.round(c + 1e-9, n)
-    return out.select("country_code", r(t, 2).alias("temperature"), "emotion", r(F.col("pro"), 2).alias("pro"), r(F.col("anti"), 2).alias("anti"), r(F.col("bot"), 3).alias("bot_ratio"), "n", r(F.col("media") - t, 2).alias("elite_gap"))
+    return out.select("country_code", r(t, 2).alias("temperature"), "emotion", r(F.col("pro"), 2).alias("pro"), r(F.col("anti"), 2).alias("anti"), r(F.col("bot"), 2).alias("bot_ratio"), "n", r(F.col("media") - t, 2).alias("elite_gap"))
 
 
 def audience_pairs(titles: DataFrame, above: float = 0.3, within_s: int = 172800, gap: float = 1.0, most: int = 200) -> DataFrame:
     """Pairs of one source in two languages with like titles, near in time, apart in sentiment; the `most` most alike."""
     near = (F.abs(F.col("a.at_s") - F.col("b.at_s")) < within_s) & (F.col("a.lang") != F.col("b.lang")) & (F.abs(F.col("a.sentiment") - F.col("b.sentiment")) >= gap)
-    p = trigram_join(titles, "article_id", "title", above, ["source"], near)
+    p = trigram_join(titles, "article_id", "title", above, ["source"], near, ["at_s", "lang", "sentiment"])
     return p.withColumn("sim", F.round(F.col("sim") + 1e-9, 4)).orderBy(F.desc("sim"), "id_1", "id_2").limit(most)
 
 
-def audience_split(rows: DataFrame) -> DataFrame:
-    """rows (source_id, language, sentiment): means of the first two languages of each source, and whether they differ."""
-    m = rows.groupBy("country_code", "language").agg(F.avg("sentiment").alias("m"))
-    g = m.groupBy("country_code").agg(F.array_sort(F.collect_list(F.struct("language", "m"))).alias("l")).where(F.size("l") >= 2)
-    a, b = F.col("l")[0], F.col("l")[1]
-    d = F.round(a["m"] - b["m"] + 1e-9, 3)
-    return g.select("country_code", a["language"].alias("lang_1"), b["language"].alias("lang_2"), d.alias("delta"), (F.abs(d) > 0.3).alias("significant"))
+def audience_split(pairs: DataFrame, as_of: Column, days: int = 30, most: int = 500) -> DataFrame:
+    """Per source over its article pairs: means of its first two languages, and whether they differ.
+
+    pairs: source_id, country_code, detected_at, lang_1, lang_2, sent_1, sent_2, sentiment_delta, article_id_1,
+    article_id_2. The `most` pairs of the largest delta are looked at. A null language is ru on the first side, en on
+    the second; a null sentiment is 0; means have 2 places; with one language the largest delta of a pair stands in.
+    """
+    recent = pairs.where(F.col("detected_at") > as_of - F.make_dt_interval(F.lit(days)))
+    top = recent.orderBy(F.desc_nulls_first("sentiment_delta"), "article_id_1", "article_id_2").limit(most)
+    side = lambda k, lang: F.struct(F.coalesce(f"lang_{k}", F.lit(lang)).alias("language"), F.coalesce(f"sent_{k}", F.lit(0.0)).alias("s"))
+    said = top.select("source_id", F.explode(F.array(side(1, "ru"), side(2, "en"))).alias("x")).select("source_id", "x.*")
+    means = said.groupBy("source_id", "language").agg(F.round(F.avg("s") + 1e-9, 2).alias("m"))
+    langs = means.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("language", "m"))).alias("l"))
+    g = top.groupBy("source_id").agg(F.max("country_code").alias("country_code"), F.count("*").alias("n_pairs"), F.max(F.coalesce("sentiment_delta", F.lit(0.0))).alias("widest")).join(langs, "source_id")
+    a, b = F.get("l", F.lit(0)), F.get("l", F.lit(1))
+    d = F.when(F.size("l") >= 2, F.abs(a["m"] - b["m"])).otherwise(F.col("widest"))
+    return g.select("source_id", "country_code", "n_pairs", a["language"].alias("lang_1"), b["language"].alias("lang_2"), a["m"].alias("mean_1"), b["m"].alias("mean_2"), F.round(d + 1e-9, 2).alias("delta"), (d > 0.3).alias("significant"))
+
+
+def link_posts(posts: DataFrame, articles: DataFrame, above: float = 0.3) -> DataFrame:
+    """(post_id, article_id): for each channel post the newest article near in time with a like title or the channel's URL.
+
+    posts: post_id, channel, text, at_s; articles: article_id, title, url, at_s. Near is two days before to one after.
+    Posts and articles meet by day; a post's first 100 characters stand for it.
+    """
+    p = posts.where("text IS NOT NULL AND text <> ''").withColumn("g", trigrams(F.substring("text", 1, 100)))
+    day = lambda c: F.floor(F.col(c) / 86400)
+    p = p.select("post_id", "channel", F.col("at_s").alias("post_s"), "g", F.explode(F.transform(F.array(*[F.lit(k) for k in (-2, -1, 0, 1)]), lambda k: day("at_s") + k)).alias("day"))
+    a = articles.select("article_id", "url", "at_s", trigrams(F.col("title")).alias("h"), day("at_s").alias("day"))
+    near = F.col("at_s").between(F.col("post_s") - 172800, F.col("post_s") + 86400)
+    like = trigram_similarity(F.col("g"), F.col("h")) >= above
+    both = p.join(a, "day").where(near & (like | F.contains(F.coalesce("url", F.lit("")), F.concat(F.lit("t.me/"), "channel"))))
+    return both.groupBy("post_id").agg(F.max(F.struct("at_s", (-F.col("article_id")).alias("i"))).alias("b")).select("post_id", (-F.col("b.i")).alias("article_id"))
 
 
 def market_pressure(usd_30: Column, index_30: Column) -> Column:

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import trigram_join
+from ..functions.text import normalize_title
 from .graph import materialize
 
 
 def title_pairs(articles: DataFrame, above: float = 0.85, within_s: int | None = 172800, least: int = 10, block: str = "country_code") -> DataFrame:
-    """(id_1, id_2, sim) of similar titles; articles: article_id, title, at_s and the block column."""
+    """(id_1, id_2, sim) of similar normalised titles; articles: article_id, title, at_s and the block column."""
     near = None if within_s is None else F.abs(F.col("a.at_s") - F.col("b.at_s")) <= within_s
-    return trigram_join(articles.where(F.length("title") >= least), "article_id", "title", above, [block], near)
+    t = articles.withColumn("title", normalize_title(F.col("title"))).where(F.length("title") >= least)
+    return trigram_join(t, "article_id", "title", above, [block], near, ["at_s"])
 
 
 def best_parent(articles: DataFrame, **how) -> DataFrame:
-    """(article_id, parent_id, sim): the most similar earlier article (time, then id)."""
-    p = title_pairs(articles, **how)
-    at = articles.select("article_id", "at_s")
-    p = p.join(at.withColumnRenamed("article_id", "id_1").withColumnRenamed("at_s", "t1"), "id_1").join(at.withColumnRenamed("article_id", "id_2").withColumnRenamed("at_s", "t2"), "id_2")
-    first = (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("id_1") < F.col("id_2")))
-    p = p.select(F.when(first, F.col("id_2")).otherwise(F.col("id_1")).alias("article_id"), F.when(first, F.col("id_1")).otherwise(F.col("id_2")).alias("parent_id"), "sim")
-    return p.groupBy("article_id").agg(F.max(F.struct("sim", (-F.col("parent_id")).alias("p"))).alias("b")).select("article_id", (-F.col("b.p")).alias("parent_id"), "b.sim")
+    """(article_id, parent_id, sim) as if articles came one by one, by time and id: each takes the most similar earlier one near in time that is no duplicate itself."""
+    return _in_turn(articles, title_pairs(articles, **how), F.struct((-F.col("sim")).alias("s"), "old"))
 
 
 def retrospective(articles: DataFrame, **how) -> DataFrame:
-    """(article_id, parent_id) as if articles came one by one: each takes its earliest similar one that is no duplicate.
+    """(article_id, parent_id) as if articles came one by one: each takes its earliest similar one that is no duplicate."""
+    return _in_turn(articles, title_pairs(articles, within_s=None, **how), F.struct("t", "old")).drop("sim")
+
+
+def _in_turn(articles: DataFrame, pairs: DataFrame, order: Column) -> DataFrame:
+    """Duplicates and their parents, the first by `order` of the earlier similar articles that are none.
 
     Rounds over the sparse pair table: an article all of whose earlier neighbours are duplicates is a root; one with a
-    root among them is a duplicate. Every round settles at least the earliest open article of each group.
+    root among them is a duplicate. A group of like titles settles in two rounds; more are needed only for chains of
+    articles each like the next but not like the one after.
     """
-    p = title_pairs(articles, within_s=None, **how)
     at = articles.select("article_id", "at_s")
-    p = p.join(at.withColumnRenamed("article_id", "id_1").withColumnRenamed("at_s", "t1"), "id_1").join(at.withColumnRenamed("article_id", "id_2").withColumnRenamed("at_s", "t2"), "id_2")
+    p = pairs.join(at.withColumnRenamed("article_id", "id_1").withColumnRenamed("at_s", "t1"), "id_1").join(at.withColumnRenamed("article_id", "id_2").withColumnRenamed("at_s", "t2"), "id_2")
     first = (F.col("t1") < F.col("t2")) | ((F.col("t1") == F.col("t2")) & (F.col("id_1") < F.col("id_2")))
-    edges = materialize(p.select(F.when(first, F.col("id_1")).otherwise(F.col("id_2")).alias("old"), F.when(first, F.col("id_2")).otherwise(F.col("id_1")).alias("new"), F.least("t1", "t2").alias("t")), "pairs")
+    edges = materialize(p.select(F.when(first, F.col("id_1")).otherwise(F.col("id_2")).alias("old"), F.when(first, F.col("id_2")).otherwise(F.col("id_1")).alias("new"), F.least("t1", "t2").alias("t"), "sim"), "pairs")
     ends = edges.select(F.col("old").alias("id")).union(edges.select("new")).distinct()
     state = materialize(ends.select("id", F.lit(None).cast("boolean").alias("root")), "state")
     while not state.where("root IS NULL").isEmpty():
@@ -47,7 +49,7 @@ def retrospective(articles: DataFrame, **how) -> DataFrame:
     roots = state.where("root").select(F.col("id").alias("old"))
     gone = state.where("NOT root").select(F.col("id").alias("new"))
     e = edges.join(roots, "old").join(gone, "new", "left_semi")
-    return e.groupBy("new").agg(F.min(F.struct("t", "old")).alias("m")).select(F.col("new").alias("article_id"), F.col("m.old").alias("parent_id"))
+    return e.groupBy("new").agg(F.min_by(F.struct("old", "sim"), order).alias("m")).select(F.col("new").alias("article_id"), F.col("m.old").alias("parent_id"), "m.sim")
 
 
 def same_title(articles: DataFrame, within_s: int = 86400, least: int = 20) -> DataFrame:

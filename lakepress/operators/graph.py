@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset (a single-machine session, as in tests) a temporary folder takes its place.
+    Only in a local session, as in tests, a temporary folder takes its place; elsewhere the setting must be there,
+    since a machine's own folder would lose data silently.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext.getCheckpointDir()
         if own:
             return own
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="lakepress-")

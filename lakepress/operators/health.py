@@ -31,12 +31,22 @@ def group_freshness(table: DataFrame, fetched: str, as_of: Column) -> DataFrame:
 
 
 def health_summary(health: DataFrame) -> DataFrame:
+    """(country_code, ok, stale, dead, coverage, dark_tiers) for each country."""
     count = lambda s: F.count(F.when(F.col("state") == s, 1))
     tiers = health.groupBy("country_code", "tier").agg(count("OK").alias("ok")).groupBy("country_code").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("ok") == 0, F.col("tier")))), ",").alias("dark_tiers"))
     out = health.groupBy("country_code").agg(count("OK").alias("ok"), count("STALE").alias("stale"), count("DEAD").alias("dead"), F.count("*").alias("n"))
-    cover = 100.0 * F.col("ok") / F.col("n")
-    verdict = F.when(cover >= 80, "HEALTHY").when(cover >= 60, "WARNING").when(cover >= 40, "DEGRADED").otherwise("UNHEALTHY")
-    return out.join(tiers, "country_code").select("country_code", "ok", "stale", "dead", F.round(cover + 1e-9, 1).alias("coverage"), "dark_tiers", verdict.alias("verdict"))
+    return out.join(tiers, "country_code").select("country_code", "ok", "stale", "dead", F.round(100.0 * F.col("ok") / F.col("n") + 1e-9, 1).alias("coverage"), "dark_tiers")
+
+
+def overall_verdict(health: DataFrame, news: DataFrame) -> DataFrame:
+    """One row (sources, ok, stale, dead, coverage, verdict); news (state): whether the news feed is fresh, which HEALTHY needs."""
+    count = lambda s: F.count(F.when(F.col("state") == s, 1))
+    g = health.agg(F.count("*").alias("sources"), count("OK").alias("ok"), count("STALE").alias("stale"), count("DEAD").alias("dead"))
+    fresh = news.agg(F.max(F.col("state") == "OK").alias("fresh"))  # one row, like the other
+    cover = F.when(F.col("sources") > 0, 100.0 * F.col("ok") / F.col("sources")).otherwise(0.0)
+    verdict = F.when(F.col("sources") == 0, "UNHEALTHY").when((cover >= 80) & F.col("fresh"), "HEALTHY").when(cover >= 60, "WARNING").when(cover >= 40, "DEGRADED").otherwise("UNHEALTHY")
+    both = g.withColumn("_one", F.lit(1)).join(fresh.withColumn("_one", F.lit(1)), "_one")
+    return both.select("sources", "ok", "stale", "dead", F.round(cover + 1e-9, 1).alias("coverage"), verdict.alias("verdict"))
 
 
 def failure_runs(fetches: DataFrame) -> DataFrame:

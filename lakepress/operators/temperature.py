@@ -27,9 +27,9 @@ def weighted(star: DataFrame, as_of: Column, days: int = 14, extra_keys: tuple[s
     if not include_backfill:
         rows = rows.where(~F.col("is_backfill"))
     key = F.lower(F.trim("event_key"))
-    cluster = F.when(F.length(F.trim("event_key")) > 3, F.concat(F.lit("e:"), key)).otherwise(F.concat(F.lit("a:"), F.col("article_id").cast("string")))
-    place = F.row_number().over(Window.partitionBy("country_code", *extra_keys, cluster).orderBy(F.desc("weight"), "article_id"))
+    cluster = F.when(F.length("event_key") > 3, F.concat(F.lit("e:"), key)).otherwise(F.concat(F.lit("a:"), F.col("article_id").cast("string")))
     base = F.when(F.col("weight").isNull() | (F.col("weight") == 0), 1.0).otherwise(F.col("weight"))
+    place = F.row_number().over(Window.partitionBy("country_code", *extra_keys, cluster).orderBy(F.desc(base), "article_id"))
     w = base * lookup(EVENT_TYPE, F.col("event_type")) * F.exp(-age_seconds(F.col("published_at"), as_of) / TAU_S) * (1 + F.log1p("reprint_count")) * lookup(ACTION, F.col("action_level").cast("int"))
     return rows.withColumn("c", F.pow(F.lit(REPEAT), place - 1)).withColumn("w", w * F.col("c"))
 
@@ -48,13 +48,14 @@ def temperature(star: DataFrame, as_of: Column, days: int = 14, keys: tuple[str,
 
 
 def historical_temperature(star: DataFrame, days_: DataFrame, window: int = 14, least: int = 1) -> DataFrame:
-    """Temperature as of the end of each day of days_ (day), all days in one job."""
-    by_day = star.withColumn("own", F.to_date("published_at"))
-    # each row counts for the window's days after its own: an explode by day keeps the join an equal one
-    spread = by_day.withColumn("day", F.explode(F.sequence(F.col("own"), F.date_add("own", window))))
-    rows = spread.join(F.broadcast(days_.select("day").distinct()), "day")
+    """Temperature as of the end of each day of days_ (day), all days in one job; backfilled rows count, being of that time."""
+    need = ["country_code", "article_id", "source_id", "sentiment", "event_type", "event_key", "action_level", "reprint_count", "weight", "published_at", "is_relevant", "is_backfill"]
+    # midnight belongs to the day before; each row counts for the window's days after its own: the join stays an equal one
+    by_day = star.select(*need, F.to_date(F.col("published_at") - F.expr("INTERVAL 1 MICROSECOND")).alias("own"))
+    spread = by_day.withColumn("day", F.explode(F.sequence(F.col("own"), F.date_add("own", window)))).drop("own")
+    rows = spread.join(F.broadcast(days_.select("day").distinct()), "day")  # one row a day
     as_of = F.date_add("day", 1).cast("timestamp")
-    return temperature(rows, as_of, window, ("day",)).where(F.col("n_articles") >= least)
+    return temperature(rows, as_of, window, ("day",), include_backfill=True).where(F.col("n_articles") >= least)
 
 
 def trend(history: DataFrame) -> DataFrame:

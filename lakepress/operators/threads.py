@@ -10,38 +10,51 @@ from pyspark.sql import functions as F
 from ..functions.similarity import cosine_join, trigram_join
 from .graph import connected_components, materialize
 
+# Fixed values.
+RESONANCE_LEVELS = {1: 0.5, 2: 0.8, 3: 1.2, 4: 1.8, 5: 2.5, 6: 3.0}
+RESONANCE_BLACKLIST = ["прогноз погоды", "архив сайта", "поиск на сайте", "курс валют", "новости дня", "лента новостей", "главные новости"]
 
-def resonance(star: DataFrame, as_of: Column, days: int = 7, least: int = 3, most: int = 30) -> DataFrame:
-    """Per event of at least three articles; the `most` largest by count, with their resonance."""
-    rows = star.where((F.col("published_at") > as_of - F.make_dt_interval(F.lit(days))) & F.col("event_key").isNotNull() & (F.length(F.trim("event_key")) > 5))
+
+def resonance(star: DataFrame, as_of: Column, days: int = 14, least: int = 3, most: int = 10) -> DataFrame:
+    """The `most` events of each country with most articles (at least three), with their resonance; without service pages."""
+    rows = star.where(F.col("is_relevant") & F.col("sentiment").isNotNull() & (F.col("published_at") > as_of - F.make_dt_interval(F.lit(days))) & (F.length("event_key") > 3))
     span = (F.unix_micros(F.max("published_at")) - F.unix_micros(F.min("published_at"))) / 3.6e9
-    g = rows.groupBy("country_code", "event_key").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("s"), F.countDistinct("tier").alias("t"), F.max("action_level").alias("al"), span.alias("h")).where(F.col("n") >= least)
-    g = g.orderBy(F.desc("n"), "country_code", "event_key").limit(most)
+    g = rows.groupBy("country_code", "event_key").agg(F.count("*").alias("n"), F.countDistinct("source_id").alias("s"), F.countDistinct("tier").alias("t"), F.max("action_level").alias("al"), F.avg("sentiment").alias("mean"), span.alias("h")).where(F.col("n") >= least)
+    place = F.row_number().over(Window.partitionBy("country_code").orderBy(F.desc("n"), "event_key"))
+    g = g.withColumn("place", place).where(F.col("place") <= most)
+    for word in RESONANCE_BLACKLIST:
+        g = g.where(~F.contains("event_key", F.lit(word)))
     speed = F.when(F.col("h") < 6, 1.5).when(F.col("h") < 24, 1.2).otherwise(1.0)
-    by_level = F.element_at(F.array(*[F.lit(x) for x in (0.5, 0.8, 1.2, 1.8, 2.5, 3.0)]), F.col("al").cast("int"))  # fixed values
+    level = F.coalesce(F.nullif("al", F.lit(0)), F.lit(1))
+    by_level = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in RESONANCE_LEVELS.items() for x in (k, v)]), level.cast("int")), F.lit(1.0))
     score = 2 * F.log(F.col("n") + 1) * (F.col("s") / F.col("n") + 0.5) * (0.8 * F.col("t")) * speed * by_level
-    return g.select("country_code", "event_key", "n", F.round(score + 1e-9, 1).alias("resonance"))
+    return g.select("country_code", "event_key", "n", F.round(F.col("mean") + 1e-9, 2).alias("mean"), F.round(score + 1e-9, 1).alias("resonance"))
 
 
 def importance(articles: DataFrame, as_of: Column, keys: tuple[str, ...] = ("country_code", "event_key")) -> DataFrame:
-    """One row per thread: counts, shift of sentiment, velocity, escalation, importance, phase and status."""
+    """One row per thread: counts, shift of sentiment, velocity, escalation, importance, phase and status.
+
+    A null action level counts as 1; the shift is over articles with a sentiment, of which there must be four.
+    """
     order = Window.partitionBy(*keys).orderBy("published_at", "article_id")
     whole = Window.partitionBy(*keys)
     us = F.unix_micros("published_at").cast("double")
-    x = articles.withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
+    x = articles.withColumn("al", F.coalesce(F.nullif("action_level", F.lit(0)), F.lit(1))).withColumn("rn", F.row_number().over(order)).withColumn("n", F.count("*").over(whole))
+    x = x.withColumn("sn", F.count("sentiment").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("sents", F.count("sentiment").over(whole))
     x = x.withColumn("mid", (F.min(us).over(whole) + F.max(us).over(whole)) / 2).withColumn("us", us)
-    x = x.withColumn("q", F.floor(F.col("n") / 4)).withColumn("half", F.floor(F.col("n") / 2))
+    x = x.withColumn("q", F.floor(F.col("sents") / 4)).withColumn("half", F.floor(F.col("n") / 2))
     mean = lambda cond, c: F.avg(F.when(cond, F.col(c)))
     g = x.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.max("action_level").alias("al"),
+        F.max("al").alias("al"),
         F.countDistinct("source_id").alias("sources"),
         F.countDistinct("tier").alias("tiers"),
         F.min("published_at").alias("first_seen"),
         F.max("published_at").alias("last_seen"),
         F.countDistinct(F.to_date("published_at")).alias("dates"),
-        (mean(F.col("rn") > F.col("n") - F.col("q"), "sentiment") - mean(F.col("rn") <= F.col("q"), "sentiment")).alias("shift"),
-        (mean(F.col("rn") > F.col("half"), "action_level") - mean(F.col("rn") <= F.col("half"), "action_level")).alias("rise"),
+        F.when(F.max("sents") >= 4, mean(F.col("sentiment").isNotNull() & (F.col("sn") > F.col("sents") - F.col("q")), "sentiment") - mean(F.col("sentiment").isNotNull() & (F.col("sn") <= F.col("q")), "sentiment")).otherwise(0.0).alias("shift"),
+        mean(F.col("rn") > F.col("half"), "al").alias("second"),
+        mean(F.col("rn") <= F.col("half"), "al").alias("first"),
         F.count(F.when(F.col("us") <= F.col("mid"), 1)).alias("early"),
         F.count(F.when(F.col("us") > F.col("mid"), 1)).alias("late"),
     )
@@ -50,7 +63,7 @@ def importance(articles: DataFrame, as_of: Column, keys: tuple[str, ...] = ("cou
     span = (F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 3.6e9
     g = g.withColumn("silence", silence).withColumn("age", age).withColumn("span", span)
     fresh = F.greatest(F.lit(0.1), 1 - F.col("silence") / 168)
-    escalation = F.when((F.col("n") >= 4) & (F.col("rise") > 0.5), 1.3).otherwise(1.0)
+    escalation = F.when(F.col("n") >= 2, F.greatest(F.lit(1.0), F.col("second") / F.greatest(F.col("first"), F.lit(0.5)))).otherwise(1.0)
     score = 3 * F.log(F.col("n") + 1) * F.col("al") * (F.log(F.col("sources") + 1) / math.log(10)) * (1 + 0.5 * F.col("tiers")) * fresh * escalation
     velocity = F.when(F.col("n") < 2, 0.0).otherwise(F.col("n") / (F.greatest(F.col("span"), F.lit(1.0)) / 24))
     phase = (
@@ -59,7 +72,7 @@ def importance(articles: DataFrame, as_of: Column, keys: tuple[str, ...] = ("cou
     )
     status = F.when(F.col("silence") > 72, "resolved").when(F.col("silence") > 48, "dormant").otherwise("developing")
     r = lambda c, n: F.round(c + 1e-9, n)
-    return g.select(*keys, "n", "al", "sources", "tiers", r(F.when(F.col("n") >= 4, F.col("shift")).otherwise(0.0), 2).alias("sentiment_shift"), r(velocity, 2).alias("velocity"), r(score, 2).alias("importance"), phase.alias("arc_phase"), status.alias("status"))
+    return g.select(*keys, "n", "al", "sources", "tiers", r(F.col("shift"), 3).alias("sentiment_shift"), r(velocity, 2).alias("velocity"), r(score, 2).alias("importance"), phase.alias("arc_phase"), status.alias("status"))
 
 
 def gate(threads: DataFrame, least_articles: int = 2, least_importance: float = 3.0) -> DataFrame:
@@ -99,7 +112,7 @@ def related(threads: DataFrame, vectors: DataFrame | None, cos_above: float = 0.
     """
     near = trigram_join(threads, "thread_id", "thread_key", key_above).select("id_1", "id_2")
     if vectors is not None:
-        near = near.union(cosine_join(vectors.withColumn("all", F.lit(1)), "thread_id", "embedding", cos_above, ["all"]).select("id_1", "id_2"))
+        near = near.union(cosine_join(vectors, "thread_id", "embedding", cos_above).select("id_1", "id_2"))
     both = near.union(near.select("id_2", "id_1")).distinct()
     a = threads.select(F.col("thread_id").alias("id_1"), F.col("country_code").alias("c1"), F.col("importance").alias("i1"))
     b = threads.select(F.col("thread_id").alias("id_2"), F.col("country_code").alias("c2"), F.col("importance").alias("i2"))
@@ -107,12 +120,18 @@ def related(threads: DataFrame, vectors: DataFrame | None, cos_above: float = 0.
     return out.select(F.col("id_1").alias("thread_id"), F.col("id_2").alias("related_id"))
 
 
-def overlap_pairs(links: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
-    """(id_1, id_2, share) of threads that share articles: at least three, and `share` of the smaller one."""
+def shared_articles(links: DataFrame) -> DataFrame:
+    """(id_1, id_2, both): how many articles two threads share."""
     links = links.select("thread_id", "article_id").distinct()
-    size = links.groupBy("thread_id").agg(F.count("*").alias("size"))
     a, b = links.alias("a"), links.alias("b")
-    both = a.join(b, (F.col("a.article_id") == F.col("b.article_id")) & (F.col("a.thread_id") < F.col("b.thread_id"))).groupBy(F.col("a.thread_id").alias("id_1"), F.col("b.thread_id").alias("id_2")).agg(F.count("*").alias("both")).where(F.col("both") >= least)
+    on = (F.col("a.article_id") == F.col("b.article_id")) & (F.col("a.thread_id") < F.col("b.thread_id"))
+    return a.join(b, on).groupBy(F.col("a.thread_id").alias("id_1"), F.col("b.thread_id").alias("id_2")).agg(F.count("*").alias("both"))
+
+
+def overlap_pairs(links: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
+    """(id_1, id_2, share) of threads that share articles: at least three, and `share` of the smaller one."""
+    size = links.select("thread_id", "article_id").distinct().groupBy("thread_id").agg(F.count("*").alias("size"))
+    both = shared_articles(links).where(F.col("both") >= least)
     s1, s2 = size.select(F.col("thread_id").alias("id_1"), F.col("size").alias("n1")), size.select(F.col("thread_id").alias("id_2"), F.col("size").alias("n2"))
     out = both.join(s1, "id_1").join(s2, "id_2").withColumn("share", F.col("both") / F.least("n1", "n2"))
     return out.where(F.col("share") >= share).select("id_1", "id_2", "share")
@@ -150,15 +169,60 @@ def lifecycle(threads: DataFrame, as_of: Column) -> DataFrame:
     return out.where(~((F.col("status") == "resolved") & (F.col("importance") < 5) & (silence > 720)) & (F.col("article_count") > 0))
 
 
-def merge_threads(threads: DataFrame, target: int, others: list[int]) -> DataFrame:
-    """The one row that the target and others become: first and last seen, count, keys."""
+def merge_threads(threads: DataFrame, links: DataFrame, target: int, others: list[int]) -> DataFrame:
+    """The one row that the target and others become: first and last seen, distinct articles of all, keys.
+
+    threads may have merged_keys from merges before; links: thread_id, article_id.
+    """
     t = threads.where(F.col("thread_id").isin(target, *others))
-    return t.agg(F.lit(target).alias("thread_id"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("article_count").alias("article_count"), F.array_sort(F.collect_set("thread_key")).alias("merged_keys"))
+    keys = F.array("thread_key") if "merged_keys" not in threads.columns else F.concat(F.array("thread_key"), F.coalesce("merged_keys", F.array().cast("array<string>")))
+    one = t.agg(F.lit(target).alias("thread_id"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(keys)))).alias("merged_keys"))
+    n = links.where(F.col("thread_id").isin(target, *others)).agg(F.lit(target).alias("thread_id"), F.countDistinct("article_id").alias("article_count"))
+    return one.join(n, "thread_id")
 
 
 def agreements(rows: DataFrame, per_group: int = 5) -> DataFrame:
-    """rows (event_key, title, published_at, action_level): groups with their newest rows, newest groups first."""
-    g = rows.where("event_key IS NOT NULL AND event_key <> ''").groupBy("event_key").agg(
-        F.max("action_level").alias("max_level"), F.count("*").alias("total"), F.max("published_at").alias("last"), F.slice(F.sort_array(F.collect_list(F.struct("published_at", "title")), asc=False), 1, per_group).alias("items")
-    )
-    return g.orderBy(F.desc("last"), "event_key")
+    """rows (event_key, title, published_at, action_level; url, source, event_type if there): cards by key, newest first.
+
+    A card: key, type of its first row by time, highest level, first and last time, total, its newest articles.
+    """
+    there = [c for c in ("published_at", "title", "url", "source") if c in rows.columns]
+    keyed = rows.withColumn("event_key", F.trim(F.coalesce("event_key", F.lit("")))).where("event_key <> ''")
+    kind = [F.min_by("event_type", "published_at").alias("event_type")] if "event_type" in rows.columns else []
+    g = keyed.groupBy("event_key").agg(*kind, F.max(F.coalesce("action_level", F.lit(0))).alias("max_level"), F.count("*").alias("total"), F.min("published_at").alias("first"), F.max("published_at").alias("last"))
+    place = F.row_number().over(Window.partitionBy("event_key").orderBy(F.desc("published_at"), "title"))
+    top = keyed.withColumn("place", place).where(F.col("place") <= per_group)
+    items = top.groupBy("event_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*there).alias("item")))), lambda s: s["item"]).alias("items"))
+    return g.join(items, "event_key").orderBy(F.desc("last"), "event_key")
+
+
+def duplicate_pairs(threads: DataFrame, links: DataFrame, vectors: DataFrame, rule: str, as_of: Column) -> DataFrame:
+    """(id_1, id_2, method, sim) of threads of one country that may be one: each pair by the first method that gives it.
+
+    Methods in order: 0 both names match the rule and were seen within 14 days (0.95); 1 at least three and 70 % of the
+    smaller one's articles shared, seen within 21 days; 2 mean vectors' cosine over 0.8; 3 keys' similarity over 0.4;
+    4 titles' similarity over 0.35. threads: thread_id, country_code, thread_key, title, status, article_count,
+    last_seen; vectors: thread_id, country_code, embedding. Resolved threads are left out.
+    """
+    t = threads.where("status <> 'resolved'")
+    seen = F.coalesce("last_seen", as_of)
+    named = t.where(F.lower(F.concat_ws(" ", "thread_key", "title")).rlike(rule)).select("thread_id", "country_code", F.unix_micros(seen).alias("us"))
+    a, b = named.alias("a"), named.alias("b")
+    near = (F.col("a.country_code") == F.col("b.country_code")) & (F.col("a.thread_id") < F.col("b.thread_id")) & (F.abs(F.col("a.us") - F.col("b.us")) < 1209600 * 1000000)
+    pair = lambda df, k, sim: df.select("id_1", "id_2", F.lit(k).alias("method"), sim.cast("double").alias("sim"))
+    by_rule = pair(a.join(b, near).select(F.col("a.thread_id").alias("id_1"), F.col("b.thread_id").alias("id_2")), 0, F.lit(0.95))
+    of = lambda x: t.select(F.col("thread_id").alias(f"id_{x}"), F.col("country_code").alias(f"c{x}"), F.col("article_count").alias(f"n{x}"), F.unix_micros(seen).alias(f"us{x}"))
+    shared = shared_articles(links).join(of(1), "id_1").join(of(2), "id_2").withColumn("sim", F.col("both") / F.greatest(F.least("n1", "n2"), F.lit(1)))
+    by_overlap = pair(shared.where((F.col("c1") == F.col("c2")) & (F.col("both") >= 3) & (F.col("sim") >= 0.7) & (F.abs(F.col("us1") - F.col("us2")) < 1814400 * 1000000)), 1, F.col("sim"))
+    live = vectors.join(t.select("thread_id"), "thread_id", "left_semi")
+    by_vector = pair(cosine_join(live, "thread_id", "embedding", 0.8, ["country_code"]), 2, F.col("cos"))
+    by_key = pair(trigram_join(t, "thread_id", "thread_key", 0.4, ["country_code"]), 3, F.col("sim"))
+    by_title = pair(trigram_join(t, "thread_id", "title", 0.35, ["country_code"]), 4, F.col("sim"))
+    every = by_rule.union(by_overlap).union(by_vector).union(by_key).union(by_title)
+    return every.groupBy("id_1", "id_2").agg(F.min(F.struct("method", "sim")).alias("m")).select("id_1", "id_2", "m.method", "m.sim")
+
+
+def auto_merges(pairs: DataFrame, sure: float = 0.8, judge=None) -> DataFrame:
+    """The pairs to merge: those from `sure` up, and of the others those that judge (a function of the table) keeps."""
+    out = pairs.where(F.col("sim") >= sure)
+    return out if judge is None else out.unionByName(judge(pairs.where(F.col("sim") < sure)))

@@ -67,6 +67,13 @@ class Dialect:
     def day_diff(self, a: str, b: str) -> str:
         return f"datediff({a}, {b})" if self.spark else f"date_diff('day', {b}, {a})"
 
+    def first_line(self, x: str) -> str:
+        return f"substring_index({x}, '\\n', 1)" if self.spark else f"split_part({x}, chr(10), 1)"
+
+    def vector(self) -> str:
+        """Vectors of one label lie close together: the label's places are lifted, the others shrunk."""
+        return "transform(embedding, (x, i) -> CAST(x AS DOUBLE) * 0.35D + CASE WHEN i % 10 = label THEN 0.25D ELSE 0D END)" if self.spark else "list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * 0.35 + CASE WHEN (i - 1) % 10 = label THEN 0.25 ELSE 0 END)"
+
     def arg_max(self, x: str, by: str) -> str:
         return f"max_by({x}, {by})" if self.spark else f"arg_max({x}, {by})"
 
@@ -102,7 +109,11 @@ def views(d: Dialect) -> dict[str, str]:
         "usage_": "SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS script, CASE WHEN user_id % 2 = 0 THEN 'alpha-large-2' ELSE 'beta' END AS model, CAST(event_id % 1000 AS BIGINT) AS tokens_in, CAST(event_id % 300 AS BIGINT) AS tokens_out FROM events",
         "threads": "SELECT country_code, event_key AS thread_key, min(article_id) AS thread_id, count(*) AS article_count, min(published_at) AS first_seen, max(published_at) AS last_seen, avg(sentiment) AS avg_sentiment, max(action_level) AS max_action_level, count(DISTINCT source_id) AS n_sources, count(DISTINCT tier) AS n_tiers FROM star WHERE event_key IS NOT NULL AND is_relevant GROUP BY 1, 2",
         "links": "SELECT t.thread_id, s.article_id, t.country_code FROM star s JOIN threads t ON s.country_code = t.country_code AND s.event_key = t.thread_key WHERE s.is_relevant UNION ALL SELECT t.thread_id, s.article_id, t.country_code FROM star s JOIN threads t ON s.country_code = t.country_code WHERE s.article_id % 29 = 0",
-        "titles": "SELECT doc_id, lang, source, text, substring(text, 1, 60) AS title, CAST(doc_id * 7919 % 2592000 AS BIGINT) AS at_s, CAST(doc_id % 61 - 30 AS DOUBLE) / CAST(10 AS DOUBLE) AS sentiment FROM documents",
+        "daily": "SELECT g.day, g.country_code, CASE WHEN g.day = m.day AND n_nationkey % 3 = 0 THEN g.volume * 6 ELSE g.volume END AS volume, CASE WHEN g.day = m.day AND n_nationkey % 3 = 0 THEN g.share * 6 ELSE g.share END AS share, CASE WHEN n_nationkey % 7 = 5 AND g.volume % 5 = 0 THEN NULL ELSE g.tone END AS tone FROM gdelt g JOIN (SELECT max(day) AS day FROM gdelt) m ON g.day <= m.day JOIN nation ON n_name = g.country_code",
+        "notes": "SELECT s.*, CASE WHEN event_key IS NOT NULL THEN concat(event_key, '-', source_id) END AS story, CASE WHEN article_id % 4 = 0 THEN 'Court news of the town' ELSE 'Talks in Moscow' END AS title, CASE WHEN article_id % 8 = 0 THEN 'A minister of RUSSIA came' END AS body FROM star s",
+        "pairs_": "SELECT p.source_id, s.country_code, p.article_id AS article_id_1, q.article_id AS article_id_2, q.published_at AS detected_at, CASE p.article_id % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'kk' END AS lang_1, CASE q.article_id % 4 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' END AS lang_2, x.sentiment AS sent_1, y.sentiment AS sent_2, abs(x.sentiment - y.sentiment) AS sentiment_delta FROM articles p JOIN articles q ON p.source_id = q.source_id AND q.article_id BETWEEN p.article_id + 1 AND p.article_id + 300 JOIN sources s ON p.source_id = s.source_id LEFT JOIN analysis x ON p.article_id = x.article_id LEFT JOIN analysis y ON q.article_id = y.article_id",
+        "vectors": f"SELECT vec_id, label, {d.vector()} AS embedding FROM embeddings",
+        "titles": f"SELECT doc_id, lang, source, text, {d.first_line('text')} AS title, CAST(doc_id * 7919 % 2592000 AS BIGINT) AS at_s, CAST(doc_id % 61 - 30 AS DOUBLE) / CAST(10 AS DOUBLE) AS sentiment FROM documents",
     }
 
 

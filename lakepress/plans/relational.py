@@ -45,7 +45,7 @@ def bodies(d: Dialect) -> dict[str, str]:
         "J20_unnest": f"SELECT topic, count(*) AS n FROM {d.unnest('star', 'topics', 'topic')} GROUP BY topic",
         "J21_top_3_as_list": f"SELECT t.thread_id, coalesce(l.items, '') AS items FROM threads t LEFT JOIN (SELECT thread_id, {d.list_join('article_id', 'rn')} AS items FROM (SELECT l.thread_id, l.article_id, {rn('l.thread_id', 'r.published_at DESC, l.article_id')} FROM (SELECT DISTINCT thread_id, article_id FROM links) l JOIN articles r ON l.article_id = r.article_id) z WHERE rn <= 3 GROUP BY thread_id) l ON t.thread_id = l.thread_id",
         "J22_scalar_subquery": f"SELECT article_id FROM articles WHERE published_at > (SELECT max(published_at) FROM articles) - {d.hours(3)}",
-        "J23_six_tables": "SELECT p.article_id AS id_1, q.article_id AS id_2, s.country_code, x.sentiment AS s_1, y.sentiment AS s_2 FROM (SELECT * FROM articles WHERE article_id % 40 = 0) p JOIN articles q ON p.source_id = q.source_id AND q.article_id = p.article_id + 175 JOIN sources s ON p.source_id = s.source_id LEFT JOIN analysis x ON p.article_id = x.article_id LEFT JOIN analysis y ON q.article_id = y.article_id",
+        "J23_six_tables": "SELECT p.article_id AS id_1, q.article_id AS id_2, s.country_code, x.sentiment AS s_1, y.sentiment AS s_2 FROM articles p JOIN articles q ON p.source_id = q.source_id AND q.article_id = p.article_id + 175 JOIN sources s ON p.source_id = s.source_id LEFT JOIN analysis x ON p.article_id = x.article_id LEFT JOIN analysis y ON q.article_id = y.article_id",
         "J24_registry": "SELECT s.score, n_name, r_name FROM scores s LEFT JOIN nation ON s.country_code = n_name LEFT JOIN region ON n_regionkey = r_regionkey WHERE s.day = DATE '2024-01-30'",
         "J25_merge_by_country": "SELECT n_name AS country_code, coalesce(a.n, 0) AS articles, coalesce(t.n, 0) AS threads, c.votes FROM nation LEFT JOIN (SELECT country_code, count(*) AS n FROM star GROUP BY 1) a ON a.country_code = n_name LEFT JOIN (SELECT country_code, count(*) AS n FROM threads GROUP BY 1) t ON t.country_code = n_name LEFT JOIN (SELECT country_code, CAST(sum(total) AS BIGINT) AS votes FROM un_votes GROUP BY 1) c ON c.country_code = n_name",
         "J26_cast_key": f"SELECT h.name, count(c.comment_id) AS n FROM channels h LEFT JOIN comments c ON CAST(h.channel_id AS {s}) = c.channel_id_ext AND h.platform = c.platform GROUP BY 1",
@@ -71,7 +71,7 @@ def bodies(d: Dialect) -> dict[str, str]:
         "A18_stdev": "SELECT country_code, round(avg(temperature), 4) AS mean, round(stddev_samp(temperature), 4) AS sd FROM temps GROUP BY 1",
         "A19_stdev_pop": "SELECT country_code, round(coalesce(nullif(stddev_pop(temperature), 0), 1), 4) AS sd FROM temps GROUP BY 1",
         "A20_distinct": f"SELECT DISTINCT {day} AS day, tier FROM star",
-        "A21_pivot": f"SELECT {day} AS day, " + ", ".join(f"round(avg(CASE WHEN tier = '{t}' THEN sentiment END), 3) AS {t}" for t in ("official", "mainstream", "independent", "social")) + " FROM star GROUP BY 1",
+        "A21_pivot": f"SELECT {day} AS day, " + ", ".join(f"round(avg(CASE WHEN tier = '{t}' THEN sentiment END), 3) AS {t}" for t in ("official", "mainstream", "independent", "social", "domestic_opposition", "western_proxy", "analytics")) + " FROM star GROUP BY 1",
         "A22_capped_records": f"SELECT event_key, max(lvl) AS max_level, max(total) AS total, {d.list_join('article_id', 'rn')} AS newest FROM (SELECT event_key, article_id, max(action_level) OVER (PARTITION BY event_key) AS lvl, count(*) OVER (PARTITION BY event_key) AS total, {rn('event_key', 'published_at DESC, article_id')} FROM star WHERE event_key IS NOT NULL AND event_key <> '') x WHERE rn <= 5 GROUP BY 1",
         "A24_ordinal_rank": "SELECT country_code, amount, row_number() OVER (ORDER BY amount DESC, country_code) AS place FROM (SELECT country_code, CAST(sum(exports + imports) AS BIGINT) AS amount FROM trade WHERE exports > 0 OR imports > 0 GROUP BY 1) x",
         "A25_last_wins": f"SELECT country_code, {d.arg_max('exports', 'year')} AS exports, {d.arg_max('imports', 'year')} AS imports FROM trade GROUP BY 1",

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze, unescape
+from ..functions.text import extract_title, squeeze, strip_links, unescape
 
 RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, updated: STRING, created: STRING>>>"
 SITEMAP = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
+ATOM = "entry ARRAY<STRUCT<title: STRING, link: STRUCT<_href: STRING>, summary: STRING, content: STRING, published: STRING, updated: STRING>>"
+SDMX = "DataSet STRUCT<Series: ARRAY<STRUCT<_INDICATOR: STRING, Obs: ARRAY<STRUCT<_TIME_PERIOD: STRING, _OBS_VALUE: STRING>>>>>"
+DATASETS = "array<struct<name: string, title: string, collections: array<string>, publisher: struct<country: string>, target_count: long, last_change: string>>"
 RATES = "_Date STRING, Valute ARRAY<STRUCT<CharCode: STRING, Nominal: STRING, Value: STRING>>"
 
 
@@ -24,6 +27,46 @@ def rss(df: DataFrame, xml: str, now: Column, most: int = 10000) -> DataFrame:
     return items.select(F.coalesce("i.link", F.substring("i.title", 1, 200)).alias("external_id"), squeeze(F.col("i.title")).alias("title"), F.substring(strip_tags(F.col("i.description")), 1, most).alias("body"), at.alias("published_at"))
 
 
+def atom(df: DataFrame, xml: str, now: Column, most: int = 10000) -> DataFrame:
+    """Entries of an Atom feed, in rss's columns."""
+    e = df.select(F.explode(F.from_xml(F.col(xml), ATOM)["entry"]).alias("e"))
+    at = F.coalesce(F.try_to_timestamp("e.published"), F.try_to_timestamp("e.updated"), now)
+    return e.select(F.coalesce("e.link._href", F.substring("e.title", 1, 200)).alias("external_id"), squeeze(F.col("e.title")).alias("title"), F.substring(strip_tags(F.coalesce("e.summary", "e.content")), 1, most).alias("body"), at.alias("published_at"))
+
+
+def sdmx_trade(df: DataFrame, xml: str, country: str) -> DataFrame:
+    """(country, year, flow, value_usd) of SDMX series: exports by their indicator, all others imports; years and values over 0."""
+    s = df.select(country, F.explode(F.from_xml(F.col(xml), SDMX)["DataSet"]["Series"]).alias("s")).where("s._INDICATOR IS NOT NULL AND s._INDICATOR <> ''")
+    o = s.select(country, F.when(F.col("s._INDICATOR") == "XG_FOB_USD", "export").otherwise("import").alias("flow"), F.explode("s.Obs").alias("o"))
+    x = o.select(country, F.col("o._TIME_PERIOD").try_cast("int").alias("year"), "flow", F.col("o._OBS_VALUE").try_cast("double").alias("v"))
+    return x.where("year > 0 AND v > 0").select(country, "year", "flow", F.floor("v").cast("long").alias("value_usd"))
+
+
+def sanction_lists(df: DataFrame, body: str) -> DataFrame:
+    """Per jurisdiction of two letters (cc): lists_count, target_count, last_change and its programs, by name."""
+    d = df.select(F.explode(F.from_json(F.col(body), DATASETS)).alias("d")).select("d.*").where(F.array_contains("collections", "sanctions"))
+    d = d.select(F.upper("publisher.country").alias("cc"), "name", "title", F.coalesce("target_count", F.lit(0)).alias("targets"), F.nullif(F.substring("last_change", 1, 10), F.lit("")).alias("last_change")).where("length(cc) = 2")
+    return d.groupBy("cc").agg(F.count("*").alias("lists_count"), F.sum("targets").alias("target_count"), F.max("last_change").alias("last_change"), F.array_sort(F.collect_list(F.struct("name", "title", "targets", "last_change"))).alias("programs"))
+
+
+def channel_posts(posts: DataFrame, last: DataFrame) -> DataFrame:
+    """New posts of channels: those beyond the last external id that is known, with a title from their text.
+
+    posts: channel, post_id, text, at; last: channel, last_id. Posts without text are left out.
+    """
+    new = posts.join(last, "channel", "left").where((F.col("post_id") > F.coalesce("last_id", F.lit(0))) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
+    body = strip_links(F.col("text"))
+    return new.select("channel", F.concat_ws("/", "channel", F.col("post_id").cast("string")).alias("external_id"), extract_title(body).alias("title"), body.alias("body"), F.concat(F.lit("https://t.me/"), "channel", F.lit("/"), F.col("post_id").cast("string")).alias("url"), F.col("at").alias("published_at"))
+
+
+def day_samples(days: DataFrame, samples: DataFrame, today: Column, most: int = 12) -> DataFrame:
+    """days (day, country_code, ...) with the first samples (country_code, place, title, url, domain, language, seendate) on today's row."""
+    top = samples.where(F.col("place") <= most)
+    item = F.struct("place", F.substring(F.coalesce("title", F.lit("")), 1, 300).alias("title"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("url", "domain", "language", "seendate")])
+    lists = top.groupBy("country_code").agg(F.array_sort(F.collect_list(item)).alias("article_samples")).withColumn("day", today)
+    return days.join(lists, ["day", "country_code"], "left")
+
+
 def fetch_outcome(status: Column, error: Column, entries: Column, malformed: Column) -> Column:
     return (
         F.when(error == "timeout", "timeout").when(error.isNotNull(), "conn_error").when(status.isin(403, 451), "geoblock")
@@ -49,8 +92,9 @@ def sitemap(df: DataFrame, xml: str, since: str = "2022") -> DataFrame:
     return u.where(F.col("lastmod").isNull() | (F.substring("lastmod", 1, 4) >= since))
 
 
-def currency_rates(df: DataFrame, xml: str, known: list[str]) -> DataFrame:
-    v = df.select(F.explode(F.from_xml(F.col(xml), RATES)["Valute"]).alias("v")).select(F.col("v.CharCode").alias("currency"), (F.replace(F.col("v.Value"), F.lit(","), F.lit(".")).cast("double") / F.col("v.Nominal").cast("double")).alias("rate"))
+def currency_rates(df: DataFrame, xml: str, known: list[str], *keep: str) -> DataFrame:
+    """(keep, currency, rate) of the known currencies; values have a decimal comma and stand for `Nominal` units."""
+    v = df.select(*keep, F.explode(F.from_xml(F.col(xml), RATES)["Valute"]).alias("v")).select(*keep, F.col("v.CharCode").alias("currency"), (F.replace(F.col("v.Value"), F.lit(","), F.lit(".")).cast("double") / F.col("v.Nominal").cast("double")).alias("rate"))
     return v.where(F.col("currency").isin(known) & (F.col("rate") > 0))
 
 
@@ -81,9 +125,9 @@ def column_records(df: DataFrame, columns: str, data: str, names: list[str]) ->
 
 
 def pageview(hits: DataFrame, salt: str) -> DataFrame:
-    """hits (ts, path, ip, agent, referrer): without bots, with a visitor hash of the day and the referrer's host."""
+    """hits (event_id, ts, path, ip, agent, referrer): without bots, with a visitor hash of the day and the referrer's host."""
     from ..functions.text import is_bot
 
     day = F.to_date("ts")
     hashed = F.substring(F.sha2(F.concat_ws("|", F.lit(salt), day.cast("string"), "ip", "agent"), 256), 1, 16)
-    return hits.where(~F.coalesce(is_bot(F.col("agent")), F.lit(False))).select("ts", day.alias("day"), "path", hashed.alias("visitor_hash"), F.parse_url("referrer", F.lit("HOST")).alias("referrer_host"))
+    return hits.where(~F.coalesce(is_bot(F.col("agent")), F.lit(False))).select("event_id", "ts", day.alias("day"), "path", hashed.alias("visitor_hash"), F.parse_url("referrer", F.lit("HOST")).alias("referrer_host"))

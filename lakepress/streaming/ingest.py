@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,21 +31,29 @@ def sessions(df: DataFrame, ts: str, gap: str, *keys: str) -> DataFrame:
     return df.groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
 
 
-def suppressed(stream: DataFrame, ttl_s: int, key: str = "dedup_key", at: str = "at_s") -> DataFrame:
-    """Emitted (key, at): an emission silences its key for ttl_s seconds. State is one number for each live key."""
+def suppressed(stream: DataFrame, ttl_s: int, key: str = "dedup_key", ts: str = "published_at", late: str = "10 minutes") -> DataFrame:
+    """Emitted (key, at_s): an emission silences its key for ttl_s seconds of event time.
+
+    State is one number for each live key, and goes when the watermark has passed its time to live. A batch's rows
+    come to their key's task in parts; only their times are held.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
-        for t in sorted(t for p in parts for t in p[at]):
+        for t in np.unique(np.concatenate([p["at_s"].to_numpy() for p in parts])).tolist():
             if last is None or t >= last + ttl_s:
                 last = int(t)
                 out.append(last)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(out), at: out})
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(out), "at_s": out})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, {at} long", "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark(ts, late).withColumn("at_s", F.unix_seconds(ts))
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} string, at_s long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def split_errors(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from lakepress.functions import similarity, text
-from lakepress.operators import dedup, health, relations, signals, temperature, threads
+from lakepress.operators import crowd, dedup, health, relations, signals, temperature, threads
 from lakepress.operators.graph import connected_components
 from lakepress.sources import feeds, sinks
 
@@ -163,14 +163,183 @@ def test_feeds(spark):
     assert [r.loc for r in feeds.sitemap(spark.createDataFrame([(sm,)], "x string"), "x").collect()] == ["u2", "u3"]
 
 
-def test_stream_matches_batch(spark, tmp_path):
+def test_stream_matches_batch_and_forgets(spark, tmp_path):
     from lakepress.streaming import ingest
 
-    rows = [("k", t) for t in (0, 4, 12, 13, 30)] + [("j", 2)]
-    spark.createDataFrame(rows, "dedup_key string, at_s long").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("dedup_key string, at_s long").parquet(f"{tmp_path}/in")
+    rows = [("k", 5000 + t) for t in (0, 4, 12, 13, 30)] + [("j", 5002)]  # rows at the first watermark, 0, would be late
+    df = spark.createDataFrame(rows, "dedup_key string, at_s long")
+    timed = df.select("dedup_key", F.timestamp_seconds("at_s").alias("published_at"))
+    timed.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/in")
     out = ingest.suppressed(stream, 10)
-    ingest.drain(out, lambda df, e: df.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/cp").awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
-    batch = signals.suppress_history(spark.createDataFrame(rows, "dedup_key string, at_s long"), 10)
-    assert got == sorted(map(tuple, batch.collect())) == [("j", 2), ("k", 0), ("k", 12), ("k", 30)]
+    write = lambda df, e: df.write.mode("append").parquet(f"{tmp_path}/out")
+    ingest.drain(out, write, f"{tmp_path}/cp").awaitTermination()
+    read = lambda: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert read() == sorted(map(tuple, signals.suppress_history(df, 10).collect())) == [("j", 5002), ("k", 5000), ("k", 5012), ("k", 5030)]
+    # a much later event moves the watermark on; the keys before it are forgotten
+    later = spark.createDataFrame([("z", 100_000)], "dedup_key string, at_s long").select("dedup_key", F.timestamp_seconds("at_s").alias("published_at"))
+    later.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    query = ingest.drain(out, write, f"{tmp_path}/cp")
+    query.awaitTermination()
+    assert ("z", 100_000) in read()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_long_suppression_history(spark):
+    """One hot key: its events are gone through by batches."""
+    e = spark.range(200_000).select(F.lit("k").alias("dedup_key"), F.col("id").alias("at_s"))
+    got = [r.at_s for r in signals.suppress_history(e, 1000).orderBy("at_s").collect()]
+    assert got == list(range(0, 200_000, 1000))
+
+
+def test_escalation_and_shift(spark):
+    """Both follow the articles in order; null levels are 1, null sentiments do not count."""
+    def one(levels, sents):
+        df = spark.createDataFrame([row(i, event_key="k", action_level=a, sentiment=s, published_at=AT - dt.timedelta(hours=10 - i)) for i, (a, s) in enumerate(zip(levels, sents, strict=True))], STAR)
+        return threads.importance(df, now()).first()
+
+    base = one([2, 2], [1.0, 1.0])
+    assert abs(base.importance - 3 * math.log(3) * 2 * math.log10(3) * 1.5 * (1 - 9 / 168)) < 0.006
+    assert abs(one([1, 4], [1.0, 1.0]).importance / one([4, 4], [1.0, 1.0]).importance - 4) < 0.01  # 4 / 1, not 1.3
+    assert abs(one([None, 4], [1.0, 1.0]).importance / one([4, 1], [1.0, 1.0]).importance - 4) < 0.01
+    assert one([1] * 5, [1.0, None, 2.0, 3.0, -1.2345]).sentiment_shift == -2.235 or one([1] * 5, [1.0, None, 2.0, 3.0, -1.2345]).sentiment_shift == -2.234
+    assert one([1] * 4, [1.0, None, 2.0, 3.0]).sentiment_shift == 0.0
+
+
+def test_resonance_cases(spark):
+    day = lambda n: AT - dt.timedelta(days=n)
+    rows = [row(i, event_key="quake", action_level=3, published_at=day(12)) for i in range(3)] + [row(10 + i, event_key="abc", published_at=day(1)) for i in range(9)]
+    rows += [row(20 + i, event_key="old1", published_at=day(15)) for i in range(5)] + [row(30 + i, event_key="курс валют", published_at=day(1)) for i in range(5)] + [row(40 + i, event_key="null", sentiment=None, published_at=day(1)) for i in range(5)]
+    got = threads.resonance(spark.createDataFrame(rows, STAR), now()).collect()
+    assert [(r.event_key, r.n, r.resonance) for r in got] == [("quake", 3, round(2 * math.log(4) * 1.5 * 0.8 * 1.5 * 1.2, 1))]
+
+
+def test_signal_cases(spark):
+    hour = lambda n: AT - dt.timedelta(hours=n)
+    rows = [row(i, tier=t, event_key="deal", action_level=4, published_at=hour(1)) for i, t in enumerate(("official", "social", "analytics"))]
+    got = signals.tier_convergence(spark.createDataFrame(rows, STAR), now()).first()
+    assert (got.severity, got.confidence, got.dedup_key, got.ttl_h) == ("warning", 0.8, "tier_convergence:a:deal", 24)
+    loud = [row(i, tier=t, event_key="deal", published_at=hour(7 + i)) for i, t in enumerate(("social", "independent", "analytics", "western_proxy"))]
+    src = spark.createDataFrame([("a", "official", True)], "country_code string, tier string, active boolean")
+    silent = signals.official_silence(spark.createDataFrame(loud, STAR), src, now()).first()
+    assert (silent.confidence, silent.dedup_key) == (0.7, "official_silence:a:deal")  # analytics is neither loud nor quiet
+    assert signals.official_silence(spark.createDataFrame(loud[:3], STAR), src, now()).count() == 0
+    # one signal for a key of two countries; no anchor, no signal; demoted countries are never critical
+    notes = [row(1, event_key="war", action_level=6, event_type="military", published_at=hour(2)), row(2, event_key="war", country_code="b", action_level=6, event_type="military", published_at=hour(1)), row(3, event_key="gas", country_code="b", action_level=6, event_type="economic", published_at=hour(1)), row(4, event_key="mud", action_level=6, event_type="economic", published_at=hour(1))]
+    star = spark.createDataFrame(notes, STAR).withColumn("title", F.when(F.col("event_key") == "mud", "nothing").otherwise("Союз")).withColumn("body", F.lit(None).cast("string"))
+    got = {r.dedup_key: (r.country_code, r.severity, r.confidence) for r in signals.notable_event(star, now(), ("b",)).collect()}
+    assert got == {"notable:war": ("b", "warning", 0.9), "notable:gas": ("b", "warning", 0.9)}
+    # shares: the newest at least twice the mean of the third newest and older ones, thirteen of them at least
+    days = [("a", AT.date() - dt.timedelta(days=k), 20, 0.4 if k == 1 else 0.9 if k == 2 else 0.1, 0.0) for k in range(1, 15)]
+    surge = lambda rows: signals.volume_surge(spark.createDataFrame(rows, "country_code string, day date, volume long, share double, tone double"), now()).collect()
+    assert [(r.severity, r.confidence, r.dedup_key) for r in surge(days)] == [("warning", 0.75, "volume_surge:a:20240131")]
+    assert surge(days[:13]) == [] and surge([(*d[:2], 9, *d[3:]) for d in days]) == [] and surge([(*d[:4], None) if k == 5 else d for k, d in enumerate(days)]) == []
+    fx = spark.createDataFrame([("x", AT.date() - dt.timedelta(days=k), c) for k, c in ((1, -2.5), (2, 9.0))] + [("y", AT.date() - dt.timedelta(days=3), 5.0)], "currency string, day date, chg double")
+    zones = spark.createDataFrame([("x", "a", 0), ("x", "b", 1), ("y", "b", 0)], "currency string, country_code string, place int")
+    live = spark.createDataFrame([("tone_shift", "b", hour(71)), ("tier_convergence", "a", hour(1)), ("volume_surge", "a", hour(73))], "signal_type string, country_code string, created_at timestamp")
+    assert [(r.country_code, r.severity, r.confidence, r.dedup_key) for r in signals.fx_move(fx, zones, live, now()).collect()] == [("a", "info", 0.8, "fx_move:x:2024-01-30")]
+    assert signals.fx_move(fx, zones, live.limit(0), now()).first().confidence == 0.65
+    pressure = spark.createDataFrame([("a", 130, 30, hour(47)), ("b", 130, 30, hour(49)), ("c", 130, 30, hour(1)), ("a", 54, 30, hour(1))], "country_code string, total long, previous long, updated_at timestamp")
+    got = signals.sanctions_escalation(pressure, spark.createDataFrame([("a",), ("b",)], "country_code string"), now()).collect()
+    assert [(r.severity, r.confidence, r.dedup_key) for r in got] == [("warning", 0.7, "sanctions_escalation:a:202401")]
+
+
+def test_signals_expire(spark):
+    s = spark.createDataFrame([("k", "a", 24, 0.5, "s")], "dedup_key string, country_code string, ttl_h int, confidence double, subject string")
+    at = lambda h: F.lit(str(AT - dt.timedelta(hours=h))).cast("timestamp")
+    assert signals.suppress(s, signals.stored(s, at(23)), now()).count() == 0 and signals.suppress(s, signals.stored(s, at(24)), now()).count() == 1
+    assert signals.clean_up(signals.stored(s, at(24 * 31)), now()).count() == 1 and signals.clean_up(signals.stored(s, at(24 * 31 + 1)), now()).count() == 0
+
+
+def test_verdict(spark):
+    def verdict(ok, dead, news):
+        h = spark.createDataFrame([(i, "a", "official", "OK" if i < ok else "DEAD") for i in range(ok + dead)], "source_id int, country_code string, tier string, state string")
+        return health.overall_verdict(h, spark.createDataFrame([(news,)], "state string")).first().verdict
+
+    assert [verdict(8, 2, "OK"), verdict(8, 2, "STALE"), verdict(6, 4, "OK"), verdict(4, 6, "OK"), verdict(3, 7, "OK"), verdict(0, 0, "OK")] == ["HEALTHY", "WARNING", "WARNING", "DEGRADED", "UNHEALTHY", "UNHEALTHY"]
+
+
+def test_audience_split_cases(spark):
+    cols = "source_id long, country_code string, article_id_1 long, article_id_2 long, detected_at timestamp, lang_1 string, lang_2 string, sent_1 double, sent_2 double, sentiment_delta double"
+    rows = [(1, "a", 1, 2, AT, "ru", "kk", 1.0, 0.5, 0.5), (1, "a", 3, 4, AT, None, "kk", None, 1.0, 1.0), (2, "a", 5, 6, AT, "en", None, 2.0, -1.0, 3.0), (3, "b", 7, 8, AT - dt.timedelta(days=31), "ru", "en", 3.0, 0.0, 3.0)]
+    got = {r.source_id: r for r in crowd.audience_split(spark.createDataFrame(rows, cols), now()).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].lang_1, got[1].lang_2, got[1].mean_1, got[1].mean_2, got[1].delta, got[1].significant) == ("kk", "ru", 0.75, 0.5, 0.25, False)
+    assert (got[2].lang_1, got[2].lang_2, got[2].delta, got[2].significant) == ("en", None, 3.0, True)
+
+
+def test_reprints_one_by_one(spark):
+    """Against the sequential rule, with the most similar one that is no duplicate."""
+    import random
+
+    r = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
+    rows = []
+    for i in range(60):
+        w = list(words[: r.choice((11, 12))])
+        for _ in range(r.choice((0, 1, 1, 2))):
+            w[r.randrange(len(w))] = r.choice(("omega", "sigma", "tau"))
+        rows.append((i, " ".join(w).title() + "!", r.randrange(0, 300_000), "x"))
+
+    def grams(s):
+        s = "".join(c for c in s.lower() if c.isalnum() or c == " ")
+        return {f"  {w} "[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+
+    def sim(a, b):
+        return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+    best, first = {}, {}
+    for i, t, at, _ in sorted(rows, key=lambda x: (x[2], x[0])):
+        before = [(j, sim(t, u), s) for j, u, s, _ in rows if (s, j) < (at, i)]
+        near = [(-x, j) for j, x, s in before if x > 0.85 and at - s <= 172800 and j not in best]
+        if near:
+            best[i] = min(near)[1]
+        like = [(s, j) for j, x, s in before if x > 0.85 and j not in first]
+        if like:
+            first[i] = min(like)[1]
+    df = spark.createDataFrame(rows, "article_id long, title string, at_s long, country_code string")
+    assert {x.article_id: x.parent_id for x in dedup.best_parent(df).collect()} == best and best
+    assert {x.article_id: x.parent_id for x in dedup.retrospective(df).collect()} == first and first
+
+
+def test_cosine_join_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(5)]
+    vecs = [(i, i % 2, [c + r.gauss(0, 0.3) for c in centres[i % 5]]) for i in range(80)] + [(900, 0, [0.0] * 8)]
+    df = spark.createDataFrame(vecs, "id long, part long, v array<double>")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b) or 1)
+
+    for above in (0.2, 0.9):
+        want = {(a, b) for a, p, x in vecs for b, q, y in vecs if a < b and p == q and cos(x, y) > above}
+        assert {(x.id_1, x.id_2) for x in similarity.cosine_join(df, "id", "v", above, ["part"]).collect()} == want
+    assert similarity.cosine_join(df.limit(0), "id", "v", 0.5).count() == 0
+
+
+def test_landed_feeds(spark):
+    one = lambda s: spark.createDataFrame([(s,)], "x string")
+    atom = '<feed><entry><title>A</title><link href="http://x/1"/><summary>&lt;b&gt;Hi&lt;/b&gt;</summary><published>2024-01-29T10:00:00Z</published></entry><entry><title>B</title><link href="http://x/2"/><content>c</content><updated>2024-01-28T10:00:00Z</updated></entry></feed>'
+    got = feeds.atom(one(atom), "x", now()).collect()
+    assert [(r.external_id, r.title, r.body, r.published_at) for r in got] == [("http://x/1", "A", "Hi", dt.datetime(2024, 1, 29, 10)), ("http://x/2", "B", "c", dt.datetime(2024, 1, 28, 10))]
+    lists = '[{"name":"a","collections":["sanctions"],"publisher":{"country":"fr"},"target_count":3,"last_change":"2024-01-02T00:00"},{"name":"b","collections":["sanctions"],"publisher":{"country":"FR"},"target_count":null},{"name":"c","collections":["pep"],"publisher":{"country":"fr"}},{"name":"d","collections":["sanctions"],"publisher":{"country":"eu1"}},{"name":"e","collections":["sanctions"]}]'
+    got = feeds.sanction_lists(one(lists), "x").collect()
+    assert [(r.cc, r.lists_count, r.target_count, r.last_change, [p["name"] for p in r.programs]) for r in got] == [("FR", 2, 3, "2024-01-02", ["a", "b"])]
+    text_of = lambda s: one(s).select(text.unescape(F.col("x"))).first()[0]
+    assert text_of("&#8217;&eacute;&#x41;&amp;lt;&nope;&#1114112;&amp;&euro;&#0;") == "’éA&lt;&nope;&#1114112;&€&#0;"
+
+
+def test_agreement_records(spark):
+    rows = [("gas deal", "t1", "u1", "s1", "2024-06-01", 3, "economic"), (" gas deal ", "t2", "u2", "s2", "2024-06-02", None, "diplomatic")]
+    one = threads.agreements(spark.createDataFrame(rows, "event_key string, title string, url string, source string, published_at string, action_level int, event_type string")).first()
+    assert (one.event_key, one.event_type, one.max_level, one["first"], one["last"], one.total) == ("gas deal", "economic", 3, "2024-06-01", "2024-06-02", 2)
+    assert [tuple(i) for i in one["items"]] == [("2024-06-02", "t2", "u2", "s2"), ("2024-06-01", "t1", "u1", "s1")]
+
+
+def test_merge_counts_distinct_articles(spark):
+    th = spark.createDataFrame([(1, "a", AT, AT), (2, "b", AT, AT)], "thread_id long, thread_key string, first_seen timestamp, last_seen timestamp")
+    links = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12)], "thread_id long, article_id long")
+    one = threads.merge_threads(th, links, 1, [2]).first()
+    assert one.article_count == 3 and one.merged_keys == ["a", "b"]
