@@ -14,19 +14,20 @@ from pyspark.sql import DataFrame
 
 from .wordhash import mix
 
-#: So many bits for each key, up to a bound of 2 ** MOST_BITS.
-BITS_A_KEY, MOST_BITS, CHUNK_BITS = 64, 27, 16
+#: So many bits for each key, up to a bound of 2 ** MOST_BITS; each key sets PROBES of them.
+BITS_A_KEY, MOST_BITS, CHUNK_BITS, PROBES = 256, 27, 16, 4
 
 
-def probes(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The two bits of each key in the bitmap."""
-    return [(k >> np.uint64(64 - bits)).astype(np.int64) for k in (key, mix(key ^ np.uint64(0x5851F42D4C957F2D)))]
+def probe(key: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The k-th bit of each key in the bitmap."""
+    return (mix(key ^ np.uint64(k * 0x2545F4914F6CDD1D & (1 << 64) - 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _probed(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.concatenate(probes(b.column("key").to_numpy().view(np.uint64), bits))
+            key = b.column("key").to_numpy().view(np.uint64)
+            at = np.concatenate([probe(key, bits, k) for k in range(PROBES)])
             yield pa.RecordBatch.from_arrays([pa.array((at >> CHUNK_BITS).astype(np.int32)), pa.array((at & ((1 << CHUNK_BITS) - 1)).astype(np.int32))], names=["chunk", "bit"])
 
     return run
@@ -55,7 +56,7 @@ def bitmap(table: DataFrame, n: int) -> tuple[int, bytes]:
 def within(keys: np.ndarray, bits: int, packed: np.ndarray) -> np.ndarray:
     """Places of the keys whose bits are all set; packed as bytes."""
     at = np.arange(len(keys))
-    for k in range(2):
-        p = probes(keys[at], bits)[k]
+    for k in range(PROBES):
+        p = probe(keys[at], bits, k)
         at = at[(packed[p >> 3] >> (7 - (p & 7))) & 1 == 1]
     return at
