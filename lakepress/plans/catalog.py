@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import engines, landed, relational
+from . import engines, landed, relational, reporting
 from .domain import DUCK, SPARK, run_sql, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -17,6 +17,6 @@ def _sql(body: str) -> Callable:
 
 QUERIES |= {k: _sql(b) for k, b in relational.bodies(SPARK).items()}
 ORACLES |= {k: with_views(DUCK, b) for k, b in relational.bodies(DUCK).items()}
-assert landed  # its queries are among those of engines
+assert landed and reporting  # their queries are among those of engines
 QUERIES |= engines.QUERIES
 ORACLES |= engines.ORACLES

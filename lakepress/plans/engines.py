@@ -419,10 +419,10 @@ def e36(v, t):
     return threads.merge_threads(v("threads"), v("links"), ids[0], ids[1:]).select(F.col("thread_id").cast("long").alias("thread_id"), "article_count", F.array_join("merged_keys", ",").alias("merged_keys"))
 
 
-@query("E38_audience_pairs", f"SELECT id_1, id_2, round(sim, 4) AS sim FROM ({_alike(_ROWS_T, 'source', 0.3, '(a.lang <> b.lang OR a.id % 2 <> b.id % 2) AND abs(a.at_s - b.at_s) < 172800 AND abs(a.sentiment - b.sentiment) >= 1')}) x ORDER BY sim DESC, id_1, id_2 LIMIT 200")
+@query("E38_audience_pairs", f"SELECT id_1, id_2, round(sim, 4) AS sim FROM ({_alike(_ROWS_T, 'lang', 0.3, 'a.id % 2 <> b.id % 2 AND abs(a.at_s - b.at_s) < 172800 AND abs(a.sentiment - b.sentiment) >= 1')}) x ORDER BY sim DESC, id_1, id_2 LIMIT 200")
 def e38(v, t):
-    # copies count as translations: the language is that of the document and its id by two
-    return crowd.audience_pairs(_titles(v).withColumn("lang", F.concat("lang", (F.col("article_id") % 2).cast("string"))))
+    # a language's documents are one source's, and copies count as translations: the language is the id by two
+    return crowd.audience_pairs(_titles(v).withColumn("source", F.col("lang")).withColumn("lang", (F.col("article_id") % 2).cast("string")))
 
 
 @query("E38_cosine_pairs", "SELECT a.vec_id AS id_1, b.vec_id AS id_2, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cos FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id AND a.vec_id % 3 <> b.vec_id % 3 AND list_cosine_similarity(a.embedding, b.embedding) > 0.71")
