@@ -172,6 +172,12 @@ def s17(v, t):
     return feeds.column_records(files, "columns", "data", ["SECID", "SIZE", "BRAND"]).select(F.col("SECID").cast("long").alias("p_partkey"), F.col("SIZE").cast("int").alias("p_size"), F.col("BRAND").alias("p_brand"))
 
 
+@query("S17_index_cards", "SELECT currency AS secid, last_ AS last, CASE WHEN first_ <> 0 THEN round((last_ - first_) / first_ * 100, 2) END AS change_pct, n AS points FROM (SELECT currency, arg_max(rate, day) AS last_, arg_min(rate, day) AS first_, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY day DESC) AS rn FROM fx) x WHERE rn <= 30 GROUP BY 1) g")
+def s17b(v, t):
+    out = feeds.index_cards(v("fx").select(F.col("currency").alias("secid"), "day", F.col("rate").alias("value")))
+    return out.select("secid", "last", "change_pct", F.size("spark").cast("long").alias("points"))
+
+
 @query("S07_channel_posts", "SELECT source AS channel, source || '/' || doc_id AS external_id, 'https://t.me/' || source || '/' || doc_id AS url FROM documents WHERE length(trim(text)) > 0 AND doc_id > CASE WHEN source IN (SELECT source FROM documents WHERE doc_id < 20) THEN 100 ELSE 0 END")
 def s07(v, t):
     d = t("documents")

@@ -73,6 +73,7 @@ def bodies(d: Dialect) -> dict[str, str]:
         "A20_distinct": f"SELECT DISTINCT {day} AS day, tier FROM star",
         "A21_pivot": f"SELECT {day} AS day, " + ", ".join(f"round(avg(CASE WHEN tier = '{t}' THEN sentiment END), 3) AS {t}" for t in ("official", "mainstream", "independent", "social", "domestic_opposition", "western_proxy", "analytics")) + " FROM star GROUP BY 1",
         "A22_capped_records": f"SELECT event_key, max(lvl) AS max_level, max(total) AS total, {d.list_join('article_id', 'rn')} AS newest FROM (SELECT event_key, article_id, max(action_level) OVER (PARTITION BY event_key) AS lvl, count(*) OVER (PARTITION BY event_key) AS total, {rn('event_key', 'published_at DESC, article_id')} FROM star WHERE event_key IS NOT NULL AND event_key <> '') x WHERE rn <= 5 GROUP BY 1",
+        # one rank over all countries: a single task, of one row a country
         "A24_ordinal_rank": "SELECT country_code, amount, row_number() OVER (ORDER BY amount DESC, country_code) AS place FROM (SELECT country_code, CAST(sum(exports + imports) AS BIGINT) AS amount FROM trade WHERE exports > 0 OR imports > 0 GROUP BY 1) x",
         "A25_last_wins": f"SELECT country_code, {d.arg_max('exports', 'year')} AS exports, {d.arg_max('imports', 'year')} AS imports FROM trade GROUP BY 1",
         "A26_signed_boost": "SELECT country_code, CAST(greatest(-15, least(15, sum(b))) AS BIGINT) AS boost FROM (SELECT country_code, sign(sentiment) * 5 * least(count(*), 2) AS b FROM star WHERE action_level >= 5 AND sentiment IS NOT NULL GROUP BY country_code, sentiment, action_level) x GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..operators import reports, threads
 from .domain import AS_OF
 from .engines import now, query
 
@@ -56,3 +56,10 @@ def cards(v, t):
 @query("Q_carousel", "SELECT * FROM (WITH d AS (SELECT country_code, temperature FROM temps WHERE day = DATE '2024-01-30'), h AS (SELECT * FROM d ORDER BY temperature DESC, country_code LIMIT 1), c AS (SELECT * FROM d WHERE country_code NOT IN (SELECT country_code FROM h) ORDER BY temperature, country_code LIMIT 1), m AS (SELECT * FROM d WHERE country_code NOT IN (SELECT country_code FROM h UNION ALL SELECT country_code FROM c) ORDER BY abs(temperature), country_code LIMIT 1) SELECT 'hot' AS what, * FROM h UNION ALL SELECT 'cold', * FROM c UNION ALL SELECT 'calm', * FROM m) x")
 def carousel(v, t):
     return reports.carousel(v("temps"), F.lit("2024-01-30").cast("date"))
+
+
+@query("A22_agreements", "SELECT event_key, arg_min(event_type, published_at) AS event_type, max(action_level) AS max_level, count(*) AS total, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 5) AS newest FROM (SELECT story AS event_key, event_type, action_level, article_id, published_at, row_number() OVER (PARTITION BY story ORDER BY published_at DESC) AS rn FROM notes WHERE story IS NOT NULL AND event_type IN ('diplomatic', 'economic')) x GROUP BY 1")
+def agreements(v, t):
+    rows = v("notes").where("event_type IN ('diplomatic', 'economic')").select(F.col("story").alias("event_key"), "title", F.col("article_id").cast("string").alias("url"), F.col("tier").alias("source"), "published_at", "action_level", "event_type")
+    out = threads.agreements(rows)
+    return out.select("event_key", "event_type", "max_level", "total", F.array_join(F.transform("items", lambda i: i["url"]), ",").alias("newest"))

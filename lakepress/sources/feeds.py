@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_title, squeeze, strip_links, unescape
 
 RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, updated: STRING, created: STRING>>>"
+SITEMAP_INDEX = "sitemap ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 SITEMAP = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 ATOM = "entry ARRAY<STRUCT<title: STRING, link: STRUCT<_href: STRING>, summary: STRING, content: STRING, published: STRING, updated: STRING>>"
 SDMX = "DataSet STRUCT<Series: ARRAY<STRUCT<_INDICATOR: STRING, Obs: ARRAY<STRUCT<_TIME_PERIOD: STRING, _OBS_VALUE: STRING>>>>>"
@@ -92,6 +93,35 @@ def sitemap(df: DataFrame, xml: str, since: str = "2022") -> DataFrame:
     return u.where(F.col("lastmod").isNull() | (F.substring("lastmod", 1, 4) >= since))
 
 
+def sitemap_children(df: DataFrame, xml: str, since: str = "2022") -> DataFrame:
+    """(loc) of the sitemaps that an index names, but those last changed before `since`; each is then read as a sitemap."""
+    c = df.select(F.explode(F.from_xml(F.col(xml), SITEMAP_INDEX)["sitemap"]).alias("c")).select("c.loc", "c.lastmod")
+    return c.where(F.col("lastmod").isNull() | (F.substring("lastmod", 1, 4) >= since)).select("loc")
+
+
+def to_fetch_again(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """Sources whose last attempt failed in a way that may pass, and that have not been tried `most` times since the last ok.
+
+    attempts: source_id, at, outcome (see fetch_outcome).
+    """
+    w = Window.partitionBy("source_id").orderBy(F.desc("at"))
+    runs = attempts.withColumn("rn", F.row_number().over(w)).withColumn("oks", F.count(F.when(F.col("outcome") == "ok", 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = runs.where("oks = 0").groupBy("source_id").agg(F.count("*").alias("tries"), F.min_by("outcome", "rn").alias("last"))
+    return g.where((F.col("tries") < most) & F.col("last").isin("timeout", "conn_error", "http_5xx")).select("source_id", "tries")
+
+
+def index_cards(records: DataFrame, points: int = 30) -> DataFrame:
+    """(secid, last, change_pct, spark): per index its newest value, its change over the last `points` values and these, oldest first.
+
+    records: secid, day, value; values that are null are left out.
+    """
+    rn = F.row_number().over(Window.partitionBy("secid").orderBy(F.desc("day")))
+    top = records.where("value IS NOT NULL").withColumn("rn", rn).where(F.col("rn") <= points)
+    g = top.groupBy("secid").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "value"))), lambda x: x["value"]).alias("spark"))
+    first, last = F.get("spark", F.lit(0)), F.element_at("spark", -1)
+    return g.select("secid", last.alias("last"), F.when(first != 0, F.round((last - first) / first * 100 + 1e-9, 2)).alias("change_pct"), "spark")
+
+
 def currency_rates(df: DataFrame, xml: str, known: list[str], *keep: str) -> DataFrame:
     """(keep, currency, rate) of the known currencies; values have a decimal comma and stand for `Nominal` units."""
     v = df.select(*keep, F.explode(F.from_xml(F.col(xml), RATES)["Valute"]).alias("v")).select(*keep, F.col("v.CharCode").alias("currency"), (F.replace(F.col("v.Value"), F.lit(","), F.lit(".")).cast("double") / F.col("v.Nominal").cast("double")).alias("rate"))

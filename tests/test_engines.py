@@ -331,6 +331,16 @@ def test_landed_feeds(spark):
     assert text_of("&#8217;&eacute;&#x41;&amp;lt;&nope;&#1114112;&amp;&euro;&#0;") == "’éA&lt;&nope;&#1114112;&€&#0;"
 
 
+def test_fetching(spark):
+    index = "<sitemapindex><sitemap><loc>a</loc><lastmod>2021-01-01</lastmod></sitemap><sitemap><loc>b</loc></sitemap><sitemap><loc>c</loc><lastmod>2024-01-01</lastmod></sitemap></sitemapindex>"
+    assert [r.loc for r in feeds.sitemap_children(spark.createDataFrame([(index,)], "x string"), "x").collect()] == ["b", "c"]
+    tries = [(1, 1, "ok"), (1, 2, "timeout"), (2, 1, "timeout"), (2, 2, "ok"), (3, 1, "http_4xx"), (4, 1, "timeout"), (4, 2, "timeout"), (4, 3, "http_5xx"), (5, 1, "http_4xx"), (5, 2, "conn_error")]
+    assert sorted(map(tuple, feeds.to_fetch_again(spark.createDataFrame(tries, "source_id long, at int, outcome string")).collect())) == [(1, 1), (5, 2)]
+    rows = [("x", d, float(d)) for d in range(1, 41)] + [("x", 41, None), ("y", 1, 0.0), ("y", 2, 5.0)]
+    got = {r.secid: (r["last"], r.change_pct, len(r.spark)) for r in feeds.index_cards(spark.createDataFrame(rows, "secid string, day int, value double")).collect()}
+    assert got == {"x": (40.0, round(29 / 11 * 100, 2), 30), "y": (5.0, None, 2)}
+
+
 def test_agreement_records(spark):
     rows = [("gas deal", "t1", "u1", "s1", "2024-06-01", 3, "economic"), (" gas deal ", "t2", "u2", "s2", "2024-06-02", None, "diplomatic")]
     one = threads.agreements(spark.createDataFrame(rows, "event_key string, title string, url string, source string, published_at string, action_level int, event_type string")).first()
