@@ -252,7 +252,8 @@ def without_personal_data(docs: DataFrame, **how) -> DataFrame:
     names, at = schema.names, shared.free(docs, "spans")
     i, h = shared.free(docs, "row_id"), shared.free(docs, "row_hash")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
-    hit = docs.join(some.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(at)), on, "left").drop(i, h)
+    clean, maybe = shared.by_bucket(docs, some)
+    hit = maybe.join(some.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("spans").alias(at)).hint("merge"), on, "left").drop(i, h)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,4 +267,4 @@ def without_personal_data(docs: DataFrame, **how) -> DataFrame:
                     b = b.set_column(k, "n_chars", pa.array(n, b.schema.field(k).type))
             yield b.select(names)
 
-    return hit.mapInArrow(run, schema)
+    return clean.unionByName(hit.mapInArrow(run, schema))

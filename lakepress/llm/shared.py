@@ -86,13 +86,30 @@ def join_ones(many: DataFrame, ones: DataFrame, key: str, hot: DataFrame) -> Dat
     return stay.unionByName(many.join(few, key, "left_anti").join(ones.hint("merge"), key, "left"))
 
 
+#: Buckets of text hashes: the ones of a table of rows go to all tasks as numbers, at most so many.
+BUCKETS = 1 << 20
+
+
+def by_bucket(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that cannot be among rows (text_hash, ...), the others), by the bucket of the text's hash; neither is moved."""
+    b = free(docs, "bucket")
+    found = F.broadcast(rows.select(F.pmod("text_hash", F.lit(BUCKETS)).alias(b)).distinct())
+    on = F.pmod(F.xxhash64("text"), F.lit(BUCKETS)) == F.col(b)
+    return docs.join(found, on, "left_anti"), docs.join(found, on, "left_semi")
+
+
 def with_row_key(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) that are among rows (doc_id, text_hash) or, by `how`, that are not; null ids are equal."""
+    """The rows of docs (doc_id, text, ...) that are among rows (doc_id, text_hash) or, by `how`, that are not; null ids are equal.
+
+    Only rows in a bucket of rows are shuffled. docs is read twice.
+    """
     i, h = free(docs, "row_id"), free(docs, "row_hash")
     on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
-    return docs.join(rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)), on, how)
+    apart, maybe = by_bucket(docs, rows)
+    met = maybe.join(rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).hint("merge"), on, how)
+    return met if how == "left_semi" else apart.unionByName(met)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows whose id and text hash are among gone (doc_id, text_hash): by row, not by id alone."""
-    return with_row_key(docs, materialize(gone.select("doc_id", "text_hash").distinct(), "gone"), "left_anti")
+    return with_row_key(docs, materialize(gone.select("doc_id", "text_hash").where("text_hash IS NOT NULL").distinct(), "gone"), "left_anti")

@@ -271,6 +271,17 @@ def held_out(doc_id="doc_id"):
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; other rows with the same id stay."""
+    """docs without the rows whose score reaches the threshold; each row is judged where it is read, so nothing is joined."""
     model = train(docs, labels.where(~held_out()))
-    return shared.without_rows(docs, toxicity(docs, model).where(F.col("score") >= threshold))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = model.messages()
+        none = model.score(model.document(np.zeros(0), 0))
+        for b in batches:
+            score = np.full(b.num_rows, none)
+            for w in slices(b.column("text"), ALNUM, latin=True):
+                for r, _, marg in model.scan(w, power):
+                    score[w.first + r] = model.score(model.document(marg, int(w.at[r + 1] - w.at[r])))
+            yield b.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
