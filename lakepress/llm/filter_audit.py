@@ -62,6 +62,12 @@ def mask_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.groupBy("part", "mask").agg(*[F.sum(c).alias(c) for c in COUNTED])
 
 
+def with_subsets(sums: str, bit: int) -> Column:
+    """A round of the transform: masks that hold the bit take in the sum of those that differ in it alone."""
+    without = lambda m: F.get(F.col(sums), m.bitwiseXOR(F.lit(bit)))
+    return F.transform(sums, lambda v, m: v + F.when(m.bitwiseAND(F.lit(bit)) != 0, without(m)).otherwise(0))
+
+
 def survivors(counts: DataFrame) -> DataFrame:
     """(part, n, good, toxic as arrays by mask, and n_left, good_left, toxic_left): left[S] is what passes all filters of S.
 
@@ -69,12 +75,13 @@ def survivors(counts: DataFrame) -> DataFrame:
     """
     held = F.map_from_entries(F.collect_list(F.struct("mask", F.struct(*COUNTED))))
     x = counts.groupBy("part").agg(held.alias("held"))
-    x = x.select("part", *[F.transform(F.sequence(F.lit(0), F.lit(SETS - 1)), lambda m, c=c: F.coalesce(F.col("held")[m][c], F.lit(0).cast("long"))).alias(c) for c in COUNTED])
+    by_mask = lambda c: F.transform(F.sequence(F.lit(0), F.lit(SETS - 1)), lambda m: F.coalesce(F.col("held")[m].getField(c), F.lit(0).cast("long")))
+    x = x.select("part", *[by_mask(c).alias(c) for c in COUNTED])
     for c in COUNTED:
         x = x.withColumn(f"{c}_in", F.col(c))
     for bit in (1 << k for k in range(len(FILTERS))):
-        for c in COUNTED:  # masks without the bit are part of those with it
-            x = x.withColumn(f"{c}_in", F.transform(f"{c}_in", lambda v, i, c=c, bit=bit: v + F.when(i.bitwiseAND(F.lit(bit)) != 0, F.get(F.col(f"{c}_in"), i.bitwiseXOR(F.lit(bit)))).otherwise(0)))
+        for c in COUNTED:
+            x = x.withColumn(f"{c}_in", with_subsets(f"{c}_in", bit))
     # a document passes all filters of S if it fails none but those outside of S
     return x.select("part", *COUNTED, *[F.reverse(f"{c}_in").alias(f"{c}_left") for c in COUNTED])
 
