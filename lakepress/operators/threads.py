@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine_join, trigram_join
+from ..functions.text import blacklisted, normalize_event_key
 from .graph import connected_components, materialize
 
 # Fixed values.
@@ -80,23 +81,52 @@ def gate(threads: DataFrame, least_articles: int = 2, least_importance: float =
 
 
 def cluster(articles: DataFrame, auto: float = 0.82, judge=None, maybe: float = 0.72, text_above: float = 0.25, embedded_share: float = 0.3) -> DataFrame:
-    """(article_id, cluster): components of similar articles of a country; articles without a pair are their own.
-
-    With enough embedded articles by cosine: pairs from `auto` up, those from `maybe` up if judge (a function of the pair
-    table) keeps them; else by trigrams of event_key. A row's cluster is the smallest id in it.
+    """(article_id, cluster): clusters of similar articles of a country; a cluster's id is the smallest article in it.
+
+    articles: article_id, country_code, event_key, embedding. With more than `embedded_share` embedded, those are
+    clustered by cosine: pairs from `auto` up, those from `maybe` up if judge (a function of the pair table) keeps them.
+    The others, or else all, are clustered by their key: equal ones, those of one normal form, and those with trigrams
+    alike. A cluster of keys that a cosine cluster of the country holds too joins it (the one of the smallest id).
+    Articles without a vector are left out if their key has five characters or less or is of a service page; by keys,
+    those without a key.
     """
-    n = articles.agg(F.count("embedding").alias("e"), F.count("*").alias("n")).first()
-    if n.n and n.e >= embedded_share * n.n:
-        pairs = cosine_join(articles.where("embedding IS NOT NULL"), "article_id", "embedding", maybe if judge else auto, ["country_code"])
-        sure = pairs.where(F.col("cos") >= auto)
-        if judge:
-            sure = sure.unionByName(judge(pairs.where(F.col("cos") < auto)))
-    else:
-        keys = articles.where("event_key IS NOT NULL").groupBy("country_code", "event_key").agg(F.min("article_id").alias("article_id"))
-        same = articles.join(keys.withColumnRenamed("article_id", "first"), ["country_code", "event_key"]).select(F.col("first").alias("id_1"), F.col("article_id").alias("id_2"))
-        sure = trigram_join(keys, "article_id", "event_key", text_above, ["country_code"]).select("id_1", "id_2").union(same)
-    parts = connected_components(sure.select(F.col("id_1").alias("u"), F.col("id_2").alias("v")))
-    return articles.join(parts, articles.article_id == parts.node, "left").select("article_id", F.coalesce("component", "article_id").alias("cluster"))
+    x = articles.select("article_id", "country_code", F.nullif(F.lower(F.trim("event_key")), F.lit("")).alias("key"), "embedding")
+    x = x.where(F.col("embedding").isNotNull() | ((F.length("key") > 5) & ~blacklisted(F.col("key"))))
+    n = x.agg(F.count("embedding").alias("e"), F.count("*").alias("n")).first()
+    if n.e <= embedded_share * n.n:
+        return _by_key(x.where("key IS NOT NULL"), text_above).select("article_id", "cluster")
+    near = x.where("embedding IS NOT NULL")
+    pairs = cosine_join(near, "article_id", "embedding", maybe if judge else auto, ["country_code"])
+    sure = pairs.where(F.col("cos") >= auto)
+    if judge:
+        sure = sure.unionByName(judge(pairs.where(F.col("cos") < auto)))
+    near = materialize(_united(near.drop("embedding"), sure, "article_id"), "near")
+    if n.e == n.n:
+        return near.select("article_id", "cluster")
+    keyed = materialize(_by_key(x.where("embedding IS NULL"), text_above), "keyed")
+    held = near.where("key IS NOT NULL").groupBy("country_code", "key").agg(F.min("cluster").alias("into"))
+    met = keyed.select("country_code", "key", "cluster").distinct().join(held, ["country_code", "key"])
+    met = materialize(met.groupBy("cluster").agg(F.min("into").alias("into")), "met")
+    low = met.groupBy("into").agg(F.min("cluster").alias("low"))
+    new = met.join(low, "into").select("cluster", F.least("into", "low").alias("new")).union(low.select("into", F.least("into", "low")))
+    both = near.select("article_id", "cluster").union(keyed.select("article_id", "cluster"))
+    return both.join(new, "cluster", "left").select("article_id", F.coalesce("new", "cluster").alias("cluster"))
+
+
+def _united(rows: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """rows with `cluster`: the smallest key that pairs (id_1, id_2) lead to, else their own."""
+    parts = connected_components(pairs.select(F.col("id_1").alias("u"), F.col("id_2").alias("v")))
+    return rows.join(parts, rows[key] == parts.node, "left").withColumn("cluster", F.coalesce("component", key)).drop("node", "component")
+
+
+def _by_key(rows: DataFrame, above: float) -> DataFrame:
+    """rows (article_id, country_code, key, cluster): a key is a node with the smallest article that has it, so frequent keys make no pairs."""
+    keys = rows.groupBy("country_code", "key").agg(F.min("article_id").alias("first"))
+    keys = materialize(keys.withColumn("form", normalize_event_key(F.col("key"))), "keys")
+    heads = keys.groupBy("country_code", "form").agg(F.min("first").alias("head"))
+    same = keys.join(heads, ["country_code", "form"]).where("first <> head").select(F.col("head").alias("id_1"), F.col("first").alias("id_2"))
+    alike = trigram_join(keys, "first", "key", above, ["country_code"]).select("id_1", "id_2")
+    return rows.select("article_id", "country_code", "key").join(_united(keys, same.union(alike), "first").select("country_code", "key", "cluster"), ["country_code", "key"])
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:

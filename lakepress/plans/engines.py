@@ -303,7 +303,7 @@ def e28(v, t):
     return dedup.same_title(_titles(v).withColumnRenamed("source", "source_id"))
 
 
-@query("E29_clusters", f"SELECT s.article_id, coalesce(c.first_id, s.article_id) AS cluster FROM star s LEFT JOIN (SELECT country_code, min(article_id) AS first_id FROM star WHERE event_key IS NOT NULL GROUP BY 1) c ON s.country_code = c.country_code AND s.event_key IS NOT NULL")
+@query("E29_clusters", "SELECT article_id, min(article_id) OVER (PARTITION BY country_code) AS cluster FROM star WHERE event_key IS NOT NULL")
 def e29(v, t):
     # keys of a country differ by one digit here, so their trigrams make one cluster of a country's keyed articles
     return threads.cluster(v("star").select("article_id", "country_code", "event_key", F.lit(None).cast("array<float>").alias("embedding")))
@@ -323,6 +323,25 @@ def e29b(v, t):
     return threads.cluster(_embedded(v), judge=lambda p: p.where((F.col("id_1") + F.col("id_2")) % 5 == 0))
 
 
+_MIXED = "SELECT doc_id AS id, source AS country, nullif(lower(trim(title)), '') AS title, embedding FROM titles LEFT JOIN vectors ON vec_id = doc_id AND doc_id % 5 <> 0"
+_FORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(title, '[^\\p{L}\\p{N}_\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1), ' ')"
+_KEYED = f"SELECT id, country, title, {_FORM} AS form, {_TRI.format(x='title')} AS g FROM ({_MIXED}) m WHERE embedding IS NULL AND length(title) > 5"
+
+
+@query("E29_mixed_clusters", f"""SELECT article_id, cluster FROM (WITH RECURSIVE m AS MATERIALIZED ({_MIXED}), k AS MATERIALIZED ({_KEYED}),
+ e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM m a JOIN m b ON a.country = b.country AND a.id < b.id AND {_COS} >= 0.82 UNION SELECT id_1, id_2 FROM ({_alike("SELECT * FROM k", "country", 0.25)}) s UNION SELECT a.id, b.id FROM k a JOIN k b ON a.country = b.country AND a.id < b.id AND (a.title = b.title OR a.form = b.form)),
+ b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, reach) AS (SELECT id, id FROM m WHERE embedding IS NOT NULL UNION SELECT id, id FROM k UNION SELECT r.node, b.v FROM r JOIN b ON r.reach = b.u),
+ c AS MATERIALIZED (SELECT id, country, title, embedding IS NOT NULL AS near, min(reach) AS cluster FROM r JOIN m ON node = id GROUP BY 1, 2, 3, 4),
+ j AS MATERIALIZED (SELECT k.cluster, min(n.cluster) AS target FROM c k JOIN c n ON NOT k.near AND n.near AND k.country = n.country AND k.title = n.title GROUP BY 1),
+ l AS (SELECT target, min(cluster) AS low FROM j GROUP BY 1)
+ SELECT c.id AS article_id, least(coalesce(j.target, c.cluster), coalesce(l.low, c.cluster)) AS cluster FROM c LEFT JOIN j ON NOT c.near AND c.cluster = j.cluster LEFT JOIN l ON l.target = coalesce(j.target, c.cluster)) x""")
+def e29c(v, t):
+    """Two fifths of the articles have a vector; the others have their titles as keys."""
+    near = v("vectors").where("vec_id % 5 <> 0").select(F.col("vec_id").alias("article_id"), "embedding")
+    rows = v("titles").select(F.col("doc_id").alias("article_id"), F.col("source").alias("country_code"), F.col("title").alias("event_key"))
+    return threads.cluster(rows.join(near, "article_id", "left"))
+
+
 _THREAD_ROWS = "SELECT * FROM star WHERE is_relevant AND event_key IS NOT NULL"
 _IMP = f"""SELECT country_code, event_key, n, al, sources, tiers, round(coalesce(CASE WHEN sents >= 4 THEN shift END, 0.0), 3) AS sentiment_shift, round(CASE WHEN n < 2 THEN 0.0 ELSE n / (greatest(span, 1.0) / 24) END, 2) AS velocity,
  round(3 * ln(n + 1) * al * (ln(sources + 1) / ln(10.0)) * (1 + 0.5 * tiers) * greatest(0.1, 1 - silence / 168) * CASE WHEN n >= 2 THEN greatest(1.0, second_ / greatest(first_, 0.5)) ELSE 1.0 END, 2) AS importance,
@@ -550,9 +569,39 @@ def r05(v, t):
 
 
 # sources and sinks
-@query("S04_page_links")
+_LINKS = f"""WITH p AS (SELECT page_id, url AS base, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract_all(html, '(?is)<a\\s[^>]*>.*?</a>') AS l FROM pages),
+ a AS (SELECT page_id, base, host, CAST(i - 1 AS INTEGER) AS place, l[i] AS t FROM p, unnest(range(1, len(l) + 1)) AS r(i)),
+ h AS (SELECT *, regexp_extract(t, '(?is)^<a[^>]*\\shref=["'']?([^"''>]*)', 1) AS href, trim(replace(regexp_replace(t, '\\s*<[^>]*>\\s*', '', 'g'), '&amp;', '&')) AS anchor FROM a),
+ u AS (SELECT page_id, host, place, CASE WHEN href LIKE '/%' THEN split_part(base, '://', 1) || '://' || host || href ELSE href END AS url, anchor FROM h WHERE length(anchor) >= 15 AND (href LIKE '/%' OR href LIKE 'http%')),
+ f AS (SELECT page_id, url, min(place) AS place, arg_min(anchor, place) AS anchor FROM u WHERE contains(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), host) AND NOT regexp_matches(url, '{feeds.SKIP}') GROUP BY 1, 2)
+ SELECT page_id, place, url, anchor FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place) <= 20"""
+
+
+@query("S04_page_links", f"SELECT * FROM ({_LINKS}) x")
 def s04(v, t):
-    return feeds.page_links(t("pages"), least=3)
+    return feeds.page_links(t("pages"))
+
+
+_OUTCOMES = "SELECT event_id, user_id, ts, CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 403 WHEN 'purchase' THEN 404 WHEN 'signup' THEN 503 END AS status, CASE WHEN event_type NOT IN ('view', 'click', 'purchase', 'signup') THEN CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'refused' END END AS error, event_id % 3 AS entries, event_id % 5 = 0 AS malformed FROM mix"
+_OUTCOME = "CASE WHEN error = 'timeout' THEN 'timeout' WHEN error IS NOT NULL THEN 'conn_error' WHEN status IN (403, 451) THEN 'geoblock' WHEN status >= 500 THEN 'http_5xx' WHEN status >= 400 THEN 'http_4xx' WHEN entries > 0 THEN 'ok' WHEN malformed THEN 'malformed' ELSE 'empty_feed' END"
+
+
+def _attempts(v):
+    status = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 403).when(F.col("event_type") == "purchase", 404).when(F.col("event_type") == "signup", 503)
+    error = F.when(status.isNull(), F.when(F.col("event_id") % 2 == 0, "timeout").otherwise("refused"))
+    outcome = feeds.fetch_outcome(status, error, F.col("event_id") % 3, F.col("event_id") % 5 == 0)
+    return v("mix").select(F.col("user_id").alias("source_id"), F.struct("ts", "event_id").alias("at"), outcome.alias("outcome"))
+
+
+@query("S03_outcomes", f"SELECT user_id AS source_id, {_OUTCOME} AS outcome, count(*) AS n FROM ({_OUTCOMES}) o GROUP BY 1, 2")
+def s03(v, t):
+    return _attempts(v).groupBy("source_id", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("S03_fetch_again", f"""SELECT source_id, count(*) AS tries FROM (SELECT user_id AS source_id, {_OUTCOME} AS outcome, row_number() OVER w AS rn, max(CASE WHEN {_OUTCOME} = 'ok' THEN 1 ELSE 0 END) OVER w AS fetched FROM ({_OUTCOMES}) o WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) x
+ WHERE fetched = 0 GROUP BY 1 HAVING count(*) < 2 AND arg_min(outcome, rn) IN ('conn_error', 'http_5xx')""")
+def s03_again(v, t):
+    return feeds.to_fetch_again(_attempts(v))
 
 
 @query("S05_article")

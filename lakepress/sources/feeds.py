@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extract_title, squeeze, strip_links, unescape
 
-RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING, updated: STRING, created: STRING>>>"
+RSS = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, content_encoded: STRING, content: STRING, summary: STRING, pubDate: STRING, updated: STRING, created: STRING>>>"
 SITEMAP_INDEX = "sitemap ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 SITEMAP = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 ATOM = "entry ARRAY<STRUCT<title: STRING, link: STRUCT<_href: STRING>, summary: STRING, content: STRING, published: STRING, updated: STRING>>"
 SDMX = "DataSet STRUCT<Series: ARRAY<STRUCT<_INDICATOR: STRING, Obs: ARRAY<STRUCT<_TIME_PERIOD: STRING, _OBS_VALUE: STRING>>>>>"
 DATASETS = "array<struct<name: string, title: string, collections: array<string>, publisher: struct<country: string>, target_count: long, last_change: string>>"
+# Fixed values.
+SKIP = r"(?i)/tag/|/tags/|/category/|/author/|/user/|/login|/register|/search|/about|/contact|/privacy|/terms|/feed|/rss|\.pdf$|\.jpg$|\.png$|\.gif$|\.mp4$|\.mp3$|#|javascript:|mailto:"
 RATES = "_Date STRING, Valute ARRAY<STRUCT<CharCode: STRING, Nominal: STRING, Value: STRING>>"
 
 
@@ -21,11 +23,19 @@ def strip_tags(c: Column) -> Column:
 
 
 def rss(df: DataFrame, xml: str, now: Column, most: int = 10000) -> DataFrame:
-    """Items: external_id (link or the title's front), title, body without tags, published_at with its fall-backs."""
-    items = df.select(F.explode(F.from_xml(F.col(xml), RSS)["channel"]["item"]).alias("i"))
+    """Items: external_id (link or the title's front), title, body without tags, published_at with its fall-backs.
+
+    The body is the content if there is one, else the summary, else the description. Items with neither title nor body
+    are left out.
+    """
+    plain = F.replace(F.replace(F.col(xml), F.lit("<content:encoded"), F.lit("<content_encoded")), F.lit("</content:encoded"), F.lit("</content_encoded"))
+    items = df.select(F.explode(F.from_xml(plain, RSS)["channel"]["item"]).alias("i"))
     when = lambda c: F.try_to_timestamp(F.regexp_replace(F.col(c), r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
     at = F.coalesce(when("i.pubDate"), when("i.updated"), when("i.created"), now)
-    return items.select(F.coalesce("i.link", F.substring("i.title", 1, 200)).alias("external_id"), squeeze(F.col("i.title")).alias("title"), F.substring(strip_tags(F.col("i.description")), 1, most).alias("body"), at.alias("published_at"))
+    full = F.coalesce(*[F.nullif(F.trim(f"i.{c}"), F.lit("")) for c in ("content_encoded", "content", "summary", "description")])
+    link = F.nullif(F.trim("i.link"), F.lit(""))
+    rows = items.select(F.coalesce(link, F.substring("i.title", 1, 200)).alias("external_id"), squeeze(F.col("i.title")).alias("title"), F.substring(strip_tags(full), 1, most).alias("body"), at.alias("published_at"))
+    return rows.where((F.length("title") > 0) | (F.length("body") > 0))
 
 
 def atom(df: DataFrame, xml: str, now: Column, most: int = 10000) -> DataFrame:
@@ -75,11 +85,54 @@ def fetch_outcome(status: Column, error: Column, entries: Column, malformed: Col
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, in either quotes or none; null if it is absent or empty."""
+    found = [F.nullif(F.regexp_extract(tag, rf"(?is)^<\w+\s(?:[^>]*?\s)?{name}\s*=\s*{form}", 1), F.lit("")) for form in (r'"([^"]*)"', r"'([^']*)'", r"""([^\s>"']+)""")]
+    return F.trim(unescape(F.coalesce(*found)))
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+
+
+def _absolute(href: Column, base: Column) -> Column:
+    """href seen from a page's address, if it begins with a slash; other forms stay."""
+    scheme = F.regexp_extract(base, r"(?i)^([a-z][a-z0-9+.-]*):", 1)
+    return F.when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(scheme, F.lit("://"), _host(base), href)).otherwise(href)
+
+
+def feed_links(pages: DataFrame) -> DataFrame:
+    """(page_id, place, url): RSS and Atom feeds that a page's link tags name, in order."""
+    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<link\s[^>]*>"), F.lit(0)), lambda t: _attribute(t, "type").rlike(r"application/(rss|atom)\+xml"))
+    x = pages.select("page_id", "url", F.posexplode(F.filter(F.transform(tags, lambda t: _attribute(t, "href")), lambda h: h.isNotNull())).alias("place", "href"))
+    return x.select("page_id", "place", _absolute(F.col("href"), F.col("url")).alias("url"))
+
+
 def page_links(pages: DataFrame, most: int = 20, least: int = 15) -> DataFrame:
-    """(page_id, place, url, anchor): anchors with enough text, first ones of each page."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(1)).alias("u"), F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*href="([^"]+)"[^>]*>(.*?)</a>'), F.lit(2)).alias("t"))
-    x = pages.select("page_id", F.posexplode(pairs).alias("place", "p")).select("page_id", "place", F.col("p.u").alias("url"), strip_tags(F.col("p.t")).alias("anchor")).where(F.length("anchor") >= least)
-    return x.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where(F.col("rn") <= most).drop("rn")
+    """(page_id, place, url, anchor): links of a page to its own site with enough text, the first ones, each once.
+
+    pages: page_id, url, html. Links to pages of lists, accounts, notices, files and marks are left out.
+    """
+    tag = r"(?is)^<a\s[^>]*>"
+    seen = lambda t: F.trim(unescape(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, tag, ""), r"\s*<[^>]*>\s*", ""), r"^\s+|\s+$", "")))
+    links = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), lambda t: F.struct(_attribute(t, "href").alias("href"), seen(t).alias("anchor")))
+    x = pages.select("page_id", _host(F.col("url")).alias("host"), F.col("url").alias("base"), F.posexplode(links).alias("place", "a"))
+    x = x.where((F.length("a.anchor") >= least) & (F.col("a.href").startswith("/") | F.col("a.href").startswith("http")))
+    x = x.select("page_id", "host", "place", _absolute(F.col("a.href"), F.col("base")).alias("url"), F.col("a.anchor").alias("anchor"))
+    x = x.where(F.contains(_host(F.col("url")), F.col("host")) & ~F.col("url").rlike(SKIP))
+    first = x.groupBy("page_id", "url").agg(F.min(F.struct("place", "anchor")).alias("f")).select("page_id", "f.place", "url", "f.anchor")
+    return first.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("place"))).where(F.col("rn") <= most).drop("rn")
+
+
+def discover(pages: DataFrame, items: DataFrame, most: int = 20, feeds: int = 2) -> DataFrame:
+    """(page_id, url): articles of a page's first feeds; only where these give none, its links.
+
+    items: feed_url, place, link of the feeds that have been read.
+    """
+    named = feed_links(pages).where(F.col("place") < feeds).select("page_id", F.col("place").alias("feed"), F.col("url").alias("feed_url"))
+    read = named.join(items.where(F.length("link") > 0), "feed_url").groupBy("page_id", F.col("link").alias("url")).agg(F.min(F.struct("feed", "place")).alias("o"))
+    read = read.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("o", "url"))).where(F.col("rn") <= most).select("page_id", "url")
+    return read.unionByName(page_links(pages.join(read.select("page_id").distinct(), "page_id", "left_anti"), most).select("page_id", "url"))
 
 
 def article(pages: DataFrame, now: Column) -> DataFrame:
@@ -99,15 +152,16 @@ def sitemap_children(df: DataFrame, xml: str, since: str = "2022") -> DataFrame:
     return c.where(F.col("lastmod").isNull() | (F.substring("lastmod", 1, 4) >= since)).select("loc")
 
 
-def to_fetch_again(attempts: DataFrame, most: int = 3) -> DataFrame:
+def to_fetch_again(attempts: DataFrame, most: int = 2) -> DataFrame:
     """Sources whose last attempt failed in a way that may pass, and that have not been tried `most` times since the last ok.
 
+    A source that timed out is not tried again: the wait would hold up all others.
     attempts: source_id, at, outcome (see fetch_outcome).
     """
     w = Window.partitionBy("source_id").orderBy(F.desc("at"))
     runs = attempts.withColumn("rn", F.row_number().over(w)).withColumn("oks", F.count(F.when(F.col("outcome") == "ok", 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     g = runs.where("oks = 0").groupBy("source_id").agg(F.count("*").alias("tries"), F.min_by("outcome", "rn").alias("last"))
-    return g.where((F.col("tries") < most) & F.col("last").isin("timeout", "conn_error", "http_5xx")).select("source_id", "tries")
+    return g.where((F.col("tries") < most) & F.col("last").isin("conn_error", "http_5xx")).select("source_id", "tries")
 
 
 def index_cards(records: DataFrame, points: int = 30) -> DataFrame:

@@ -334,8 +334,8 @@ def test_landed_feeds(spark):
 def test_fetching(spark):
     index = "<sitemapindex><sitemap><loc>a</loc><lastmod>2021-01-01</lastmod></sitemap><sitemap><loc>b</loc></sitemap><sitemap><loc>c</loc><lastmod>2024-01-01</lastmod></sitemap></sitemapindex>"
     assert [r.loc for r in feeds.sitemap_children(spark.createDataFrame([(index,)], "x string"), "x").collect()] == ["b", "c"]
-    tries = [(1, 1, "ok"), (1, 2, "timeout"), (2, 1, "timeout"), (2, 2, "ok"), (3, 1, "http_4xx"), (4, 1, "timeout"), (4, 2, "timeout"), (4, 3, "http_5xx"), (5, 1, "http_4xx"), (5, 2, "conn_error")]
-    assert sorted(map(tuple, feeds.to_fetch_again(spark.createDataFrame(tries, "source_id long, at int, outcome string")).collect())) == [(1, 1), (5, 2)]
+    tries = [(1, 1, "ok"), (1, 2, "timeout"), (2, 1, "timeout"), (2, 2, "ok"), (3, 1, "http_4xx"), (4, 1, "timeout"), (4, 2, "timeout"), (4, 3, "http_5xx"), (5, 1, "http_4xx"), (5, 2, "conn_error"), (6, 1, "ok"), (6, 2, "http_5xx")]
+    assert sorted(map(tuple, feeds.to_fetch_again(spark.createDataFrame(tries, "source_id long, at int, outcome string")).collect())) == [(6, 1)]
     rows = [("x", d, float(d)) for d in range(1, 41)] + [("x", 41, None), ("y", 1, 0.0), ("y", 2, 5.0)]
     got = {r.secid: (r["last"], r.change_pct, len(r.spark)) for r in feeds.index_cards(spark.createDataFrame(rows, "secid string, day int, value double")).collect()}
     assert got == {"x": (40.0, round(29 / 11 * 100, 2), 30), "y": (5.0, None, 2)}
@@ -353,3 +353,48 @@ def test_merge_counts_distinct_articles(spark):
     links = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12)], "thread_id long, article_id long")
     one = threads.merge_threads(th, links, 1, [2]).first()
     assert one.article_count == 3 and one.merged_keys == ["a", "b"]
+
+
+def test_clusters_of_partly_embedded_countries(spark):
+    a, b = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
+    rows = [
+        (5, "A", "Summit In Rome", a), (6, "A", None, b),  # a cosine cluster
+        (3, "A", "summit in rome ", None), (4, "A", "summit in rome today", None),  # keys alike; the first is in the cosine cluster
+        (7, "A", "grain prices", None), (8, "A", "grain prices", None), (9, "A", "short", None), (10, "A", "прогноз погоды в Риме", None), (11, "A", None, None),
+        (12, "A", "other talk", [0.0, 1.0, 0.0]), (13, "A", "прогноз погоды", [0.0, 0.0, 1.0]),
+        (20, "B", "summit in rome", None), (21, "B", "визит Трампа", None), (22, "B", "trump визит", None), (23, "B", "визит трамп", None),
+        (24, "B", "trump", None), (25, "B", "трампа", None),  # the first has five characters; the second is like визит трампа
+        (30, "C", "x", a), (31, "C", "x", b), (32, "C", "y", a),
+    ]
+    df = spark.createDataFrame(rows, "article_id long, country_code string, event_key string, embedding array<double>")
+    got = {r.article_id: r.cluster for r in threads.cluster(df).collect()}
+    assert got == {5: 3, 6: 3, 3: 3, 4: 3, 7: 7, 8: 7, 12: 12, 13: 13, 20: 20, 21: 21, 22: 22, 23: 21, 25: 21, 30: 30, 31: 30, 32: 30} | {22: got[22]}
+    # by keys alone: at a share that is not exceeded vectors do not count
+    n = sum(r[3] is not None or (r[2] is not None and len(r[2].strip()) > 5 and "прогноз" not in r[2]) for r in rows)
+    got = {r.article_id: r.cluster for r in threads.cluster(df, embedded_share=7.01 / n).collect()}
+    assert got[5] == got[3] == got[4] == 3 and 6 not in got and got[30] == got[31] == 30 and got[32] == 32
+    assert threads.cluster(df, embedded_share=6.9 / n).where("article_id = 6").count() == 1
+    assert threads.cluster(df.limit(0)).count() == 0
+
+
+def test_links_and_feeds_of_pages(spark):
+    long = "a headline of some length"
+    html = (
+        "<html><head><LINK rel=alternate type='application/rss+xml' href='/f?a=1&amp;b=2'><link type=\"application/atom+xml\" href=\"http://o.org/atom\"><link type='application/rss+xml'><link type='application/rss+xml' href=/third></head>"
+        f"<a href=/one>{long}</a><a class=x href='//news.site.com/two'> <b>{long}</b> </a><A HREF=\"http://site.com/one\">{long} again</A><a href=http://other.com/x>{long}</a><a href=rel>{long}</a>"
+        f"<a href='/tag/x'>{long}</a><a href='/a.PDF'>{long}</a><a data-href='/no'>{long}</a><a href=/three?x=1&amp;y=2><i>so many</i> <i>letters</i></a><a href=/four>fourteen chars</a><abbr href=/five>{long}</abbr>"
+    )
+    pages = spark.createDataFrame([(1, "http://site.com/home", html), (2, "http://site.com", None), (3, "https://s.org/", f"<link type=application/rss+xml href=/f><a href=/here>{long}</a>")], "page_id long, url string, html string")
+    got = [(r.page_id, r.url) for r in feeds.page_links(pages).orderBy("page_id", "place").collect()]
+    assert got == [(1, "http://site.com/one"), (1, "http://news.site.com/two"), (3, "https://s.org/here")]
+    assert feeds.page_links(pages, least=14).where("url = 'http://site.com/three?x=1&y=2'").first().anchor == "so manyletters"
+    assert [tuple(r) for r in feeds.feed_links(pages).orderBy("page_id", "place").collect()] == [(1, 0, "http://site.com/f?a=1&b=2"), (1, 1, "http://o.org/atom"), (1, 2, "http://site.com/third"), (3, 0, "https://s.org/f")]
+    items = spark.createDataFrame([("http://o.org/atom", 0, "http://o.org/1"), ("http://site.com/f?a=1&b=2", 3, "http://site.com/z"), ("http://site.com/third", 0, "http://site.com/never"), ("https://s.org/f", 0, "")], "feed_url string, place int, link string")
+    assert sorted(map(tuple, feeds.discover(pages, items).collect())) == [(1, "http://o.org/1"), (1, "http://site.com/z"), (3, "https://s.org/here")]
+    assert [tuple(r) for r in feeds.discover(pages, items, 1).where("page_id = 1").collect()] == [(1, "http://site.com/z")]
+
+
+def test_entries_of_feeds(spark):
+    xml = '<rss xmlns:content="c"><channel><item><title>A</title><description>short</description><content:encoded>&lt;p&gt;whole&lt;/p&gt; text</content:encoded></item><item><title> </title><description> </description><link>http://x/2</link></item><item><description>only a body</description></item></channel></rss>'
+    got = feeds.rss(spark.createDataFrame([(xml,)], "x string"), "x", now()).collect()
+    assert [(r.title or "", r.body) for r in got] == [("A", "whole text"), ("", "only a body")]
