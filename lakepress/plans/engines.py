@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import crowd, dedup, health, relations, signals, temperature, threads
-from ..operators.graph import connected_components, materialize
+from ..operators.graph import connected_components, materialize, shared_dir
 from ..sources import feeds, sinks
+from ..streaming import ingest, queue
 from .domain import AS_OF, DUCK, view, with_views
 
 QUERIES: dict = {}
@@ -604,6 +607,31 @@ def s03_again(v, t):
     return feeds.to_fetch_again(_attempts(v))
 
 
+_SENT = "SELECT *, CASE WHEN event_id % 11 = 0 THEN 'malformed' WHEN event_id % 13 = 0 THEN 'no_id' WHEN event_id % 17 = 0 THEN 'no_published_at' END AS error FROM mix"
+
+
+@query("S19_queue", f"SELECT event_type, error, attempt, count(*) AS n, count(CASE WHEN error IS NULL AND h1 % 3 = 0 THEN 1 END) AS late FROM (SELECT event_type, error, 1 AS attempt, h1 FROM ({_SENT}) a UNION ALL SELECT event_type, CASE WHEN error <> 'malformed' THEN error END, 2, h1 FROM ({_SENT}) b WHERE error IS NOT NULL) x GROUP BY 1, 2, 3")
+def s19(v, t):
+    """Messages drained from a queue; of the dead letters, those cut off in the middle are mended and replayed."""
+    x = v("mix")
+    top = f"{shared_dir(x.sparkSession)}/lakepress/queue-{uuid.uuid4().hex}"
+    at, came = F.col("ts"), F.when(F.col("h1") % 3 == 0, F.col("ts") + F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts"))
+    body = F.to_json(F.struct(F.when(F.col("event_id") % 13 != 0, F.col("event_id")).alias("id"), F.when(F.col("event_id") % 17 != 0, at).alias("published_at"), came.alias("collected_at"), F.col("event_type").alias("kind")))
+    # all fields are there in messages cut off, so that they can be mended by their last character
+    whole = F.to_json(F.struct(F.col("event_id").alias("id"), at.alias("published_at"), came.alias("collected_at"), F.col("event_type").alias("kind")))
+    value = F.when(F.col("event_id") % 11 == 0, F.regexp_replace(whole, r"[}]$", "")).otherwise(body)
+    x.select(value.alias("value"), F.lit(1).alias("attempt")).write.parquet(f"{top}/landing/first")
+    schema, needs = "id long, published_at timestamp, collected_at timestamp, kind string", ["id", "published_at"]
+    spark = x.sparkSession
+    queue.drain_queue(spark, f"{top}/landing", f"{top}/out", schema, needs)
+    queue.replay(spark, f"{top}/out", f"{top}/landing", lambda c: F.when(c.endswith("}"), c).otherwise(F.concat(c, F.lit("}"))), most=2)
+    queue.drain_queue(spark, f"{top}/landing", f"{top}/out", schema, needs)
+    good, dead = queue.stored(spark, f"{top}/out")
+    good = ingest.flag_late(good).select(F.col("kind").alias("event_type"), F.lit(None).cast("string").alias("error"), "attempt", F.col("is_backfill").cast("int").alias("late"))
+    dead = dead.select(F.regexp_extract("value", '"kind":"([^"]*)"', 1).alias("event_type"), "error", "attempt", F.lit(0).alias("late"))
+    return good.unionByName(dead).groupBy("event_type", "error", "attempt").agg(F.count("*").alias("n"), F.sum("late").alias("late"))
+
+
 @query("S05_article")
 def s05(v, t):
     return feeds.article(t("pages"), now()).select("page_id", F.col("title").alias("raw_title"), "body")
