@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import asof, engines, intervals, landed, relational, reporting, sources
+from . import asof, engines, intervals, landed, relational, reporting, sources, streams
 from .domain import DUCK, SPARK, run_sql, with_views
 
 QUERIES: dict[str, Callable] = {}
@@ -17,6 +17,6 @@ def _sql(body: str) -> Callable:
 
 QUERIES |= {k: _sql(b) for k, b in relational.bodies(SPARK).items()}
 ORACLES |= {k: with_views(DUCK, b) for k, b in relational.bodies(DUCK).items()}
-assert asof and intervals and landed and reporting and sources  # their queries are among those of engines
+assert asof and intervals and landed and reporting and sources and streams  # their queries are among those of engines
 QUERIES |= engines.QUERIES
 ORACLES |= engines.ORACLES

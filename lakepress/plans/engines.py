@@ -691,7 +691,14 @@ def s28(v, t):
 
 
 # streaming semantics in batch
-@query("ST5_suppression_history")
+def emissions(events: str, more: str = "") -> str:
+    """Oracle: of events (dedup_key, at_s, ttl_s) each key's first, then always the first one at or beyond the end of the last one's silence."""
+    step = "SELECT a.dedup_key, a.at_s, a.ttl_s, b.at_s AS next_s FROM (SELECT *, at_s + ttl_s AS until_s FROM ev) a ASOF LEFT JOIN ev b ON a.dedup_key = b.dedup_key AND a.until_s <= b.at_s"
+    return f"""SELECT dedup_key, at_s{more} FROM (WITH RECURSIVE ev AS (SELECT dedup_key, at_s, max(ttl_s) AS ttl_s FROM ({events}) x GROUP BY 1, 2), step AS ({step}),
+ out AS (SELECT dedup_key, at_s, ttl_s, next_s FROM step WHERE (dedup_key, at_s) IN (SELECT (dedup_key, min(at_s)) FROM ev GROUP BY dedup_key) UNION ALL SELECT s.dedup_key, s.at_s, s.ttl_s, s.next_s FROM out o JOIN step s ON s.dedup_key = o.dedup_key AND s.at_s = o.next_s) SELECT * FROM out) y"""
+
+
+@query("ST5_suppression_history", emissions("SELECT CAST(source_id AS VARCHAR) AS dedup_key, CAST(floor(epoch_us(published_at) / 1000000) AS BIGINT) AS at_s, 43200 AS ttl_s FROM articles"))
 def st5(v, t):
     e = v("articles").select(F.col("source_id").cast("string").alias("dedup_key"), F.floor(F.unix_micros("published_at") / 1000000).alias("at_s"))
     return signals.suppress_history(e, 43200)
