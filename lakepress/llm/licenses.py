@@ -83,10 +83,15 @@ def _grams(w, k: int):
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: _gram(w, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
-def templates(spark, k: int = K) -> DataFrame:
-    """(h, tid, label, base, t_grams, t_pos) for every k-gram of every phrase and notice, and the marker's row."""
+def _templates() -> list[tuple[int, str, bool, list[str]]]:
     rows = [(i, label, True, text.split()) for i, (text, label) in enumerate(PHRASES.items())]
     rows += [(len(PHRASES) + i, label, False, t.split()) for i, (label, t) in enumerate([*((a, t) for a, ts in NOTICES.items() for t in ts), *((a, " ".join(_words(t))) for a, t in TEXTS.items())])]
+    return rows
+
+
+def templates(spark, k: int = K) -> DataFrame:
+    """(h, tid, label, base, t_grams, t_pos) for every k-gram of every phrase and notice, and the marker's row."""
+    rows = _templates()
     t = spark.createDataFrame(rows, "tid int, label string, base boolean, w array<string>")
     t = t.select("tid", "label", "base", _grams(F.col("w"), k).alias("g"))
     t = t.select("tid", "label", "base", F.size("g").alias("t_grams"), F.posexplode("g").alias("t_pos", "h"))
@@ -121,8 +126,12 @@ def license_scan(docs: DataFrame, share: float = 0.6, slack: int = 4, k: int = K
     )
     spans = spans.withColumn("part", F.when(F.col("tid") >= 0, F.col("votes") / F.col("t_grams")))
     found = F.when(F.col("base"), F.col("votes") == F.col("t_grams")).otherwise(F.col("part") >= share)
-    # of templates that are much alike, the one found best stands for the place: spans of one place are neighbours here
-    by = Window.partitionBy("row", "doc_id", "n_words").orderBy("first", "end", "tid", "band").rowsBetween(-12, 12)
+    # of templates that are much alike, the one found best stands for the place. Only spans that were found, and each
+    # text's marker, go on; no span is longer than its template, two bands and a k-gram, so any that overlaps another
+    # begins within that many words of it
+    spans = spans.where(found | (F.col("tid") < 0))
+    longest = max(len(w) + 2 * (slack + len(w) // 8) for _, _, _, w in _templates()) + k
+    by = Window.partitionBy("row", "doc_id", "n_words").orderBy("first").rangeBetween(-longest, longest)
     near = F.collect_list(F.when(~F.col("base") & found, F.struct("label", "part", "first", "end"))).over(by)
     part, first, end, label = F.col("part"), F.col("first"), F.col("end"), F.col("label")
     spans = spans.withColumn("near", near)
