@@ -296,7 +296,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     directory = shared.materialize(blocks, "directory")
     order = ["first_key", "first_id", "last_key", "last_id", "file", "start"]
     parts = directory.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(folder, "directory", DIRECTORY_ROWS), BLOCK)
-    parts.coalesce(1).write.parquet(f"{folder}/root")
+    # only the root's few rows, one for each part of the directory, go through one task
+    shared.materialize(parts, "parts").coalesce(1).write.parquet(f"{folder}/root")
 
 
 def read_archives(pages: DataFrame, folder: str) -> DataFrame:
