@@ -82,3 +82,21 @@ def s06_source(v, t):
     folder = _folder(d)
     landed.land(_files(d, item, "<urlset>", "</urlset>"), folder)
     return feeds.sitemap(landed.read(d.sparkSession, folder), "body")
+
+
+_FUEL = "SELECT n_regionkey, CASE WHEN n_nationkey % 6 = 5 THEN 'all' WHEN n_nationkey % 2 = 0 THEN chr(97 + CAST(n_nationkey % 19 AS INTEGER)) || 'x' ELSE chr(65 + CAST(n_nationkey % 19 AS INTEGER)) || 'X' END AS cc, n_name || ' ' || year AS grp, CASE WHEN year % 3 = 0 THEN '' ELSE 'in ' || year || ' ' || n_name END AS name, exports - 400 AS eur, imports - 400 AS tonne FROM trade JOIN nation ON n_name = country_code"
+
+
+@query("S16_fuel_imports", f"""SELECT upper(cc) AS country_code, CAST(sum(eur) AS DOUBLE) AS total_eur, CAST(sum(tonne) AS DOUBLE) AS total_tonne, count(*) AS n, string_agg(CASE WHEN name = '' THEN grp ELSE name END, ',' ORDER BY eur DESC, grp) AS names,
+ row_number() OVER (ORDER BY sum(eur) DESC, upper(cc)) AS world_rank FROM ({_FUEL}) x WHERE length(cc) = 2 AND (eur > 0 OR tonne > 0) GROUP BY 1""")
+def s16(v, t):
+    """One landed list of each region: bare for some, wrapped for the others."""
+    x = v("trade").join(t("nation"), F.col("n_name") == F.col("country_code"))
+    cc = F.when(F.col("n_nationkey") % 6 == 5, "all").when(F.col("n_nationkey") % 2 == 0, F.concat(F.chr(F.lit(97) + F.col("n_nationkey") % 19), F.lit("x"))).otherwise(F.concat(F.chr(F.lit(65) + F.col("n_nationkey") % 19), F.lit("X")))
+    year = F.col("year").cast("string")
+    name = F.when(F.col("year") % 3 == 0, "").otherwise(F.concat(F.lit("in "), year, F.lit(" "), "n_name"))
+    row = F.struct(cc.alias("destination_iso2"), F.concat("n_name", F.lit(" "), year).alias("commodity_group"), name.alias("commodity_group_name"), (F.col("exports") - 400).alias("value_eur"), (F.col("imports") - 400).alias("value_tonne"))
+    lists = x.groupBy("n_regionkey").agg(F.to_json(F.collect_list(row)).alias("j"))
+    body = F.when(F.col("n_regionkey") % 2 == 0, F.col("j")).otherwise(F.concat(F.lit('{"data": '), "j", F.lit("}")))
+    out = feeds.fuel_imports(lists.select(body.alias("body")), "body")
+    return out.select("country_code", "total_eur", "total_tonne", F.size("commodities").cast("long").alias("n"), F.array_join("commodities.name", ",").alias("names"), F.col("world_rank").cast("long").alias("world_rank"))

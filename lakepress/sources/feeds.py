@@ -13,6 +13,7 @@ SITEMAP = "url ARRAY<STRUCT<loc: STRING, lastmod: STRING>>"
 ATOM = "entry ARRAY<STRUCT<title: STRING, link: STRUCT<_href: STRING>, summary: STRING, content: STRING, published: STRING, updated: STRING>>"
 SDMX = "DataSet STRUCT<Series: ARRAY<STRUCT<_INDICATOR: STRING, Obs: ARRAY<STRUCT<_TIME_PERIOD: STRING, _OBS_VALUE: STRING>>>>>"
 DATASETS = "array<struct<name: string, title: string, collections: array<string>, publisher: struct<country: string>, target_count: long, last_change: string>>"
+FUELS = "array<struct<destination_iso2: string, commodity_group: string, commodity_group_name: string, value_eur: string, value_tonne: string>>"
 # Fixed values.
 SKIP = r"(?i)/tag/|/tags/|/category/|/author/|/user/|/login|/register|/search|/about|/contact|/privacy|/terms|/feed|/rss|\.pdf$|\.jpg$|\.png$|\.gif$|\.mp4$|\.mp3$|#|javascript:|mailto:"
 RATES = "_Date STRING, Valute ARRAY<STRUCT<CharCode: STRING, Nominal: STRING, Value: STRING>>"
@@ -60,6 +61,26 @@ def sanction_lists(df: DataFrame, body: str) -> DataFrame:
     return d.groupBy("cc").agg(F.count("*").alias("lists_count"), F.sum("targets").alias("target_count"), F.max("last_change").alias("last_change"), F.array_sort(F.collect_list(F.struct("name", "title", "targets", "last_change"))).alias("programs"))
 
 
+def fuel_imports(df: DataFrame, body: str) -> DataFrame:
+    """Per importer of two letters (country_code): total_eur, total_tonne, its commodities from the largest on, and world_rank.
+
+    A landed body is a list of rows, or an object that holds it as `data`; others give no rows. Rows without a value over
+    0 are left out, values that are no numbers count as 0, a commodity without a name has its group's. Importers of
+    equal totals rank by their letters; there are at most 676, so the ranking is one small task.
+    """
+    bare = F.ltrim(body).startswith("[")
+    listed = F.when(bare, F.from_json(F.col(body), FUELS)).otherwise(F.from_json(F.col(body), f"struct<data: {FUELS}>")["data"])
+    r = df.select(F.explode(listed).alias("r")).select("r.*")
+    number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    name = F.coalesce(F.nullif(F.col("commodity_group_name"), F.lit("")), F.col("commodity_group"))
+    r = r.select(F.upper("destination_iso2").alias("country_code"), F.col("commodity_group").alias("grp"), name.alias("name"), number("value_eur").alias("eur"), number("value_tonne").alias("tonne"))
+    r = r.where(F.col("country_code").rlike(r"^\p{L}{2}$") & ((F.col("eur") > 0) | (F.col("tonne") > 0)))
+    item = F.struct((-F.round("eur", 2)).alias("order"), F.col("grp").alias("group"), "name", F.round("eur", 2).alias("value_eur"), F.round("tonne", 2).alias("value_tonne"))
+    g = r.groupBy("country_code").agg(F.sum("eur").alias("total_eur"), F.sum("tonne").alias("total_tonne"), F.array_sort(F.collect_list(item)).alias("c"))
+    rank = F.row_number().over(Window.orderBy(F.desc("total_eur"), "country_code"))
+    return g.select("country_code", "total_eur", "total_tonne", F.transform("c", lambda x: x.dropFields("order")).alias("commodities"), rank.alias("world_rank"))
+
+
 def channel_posts(posts: DataFrame, last: DataFrame) -> DataFrame:
     """New posts of channels: those beyond the last external id that is known, with a title from their text.
 

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lakepress.sources import landed
+from lakepress.sources import feeds, landed
 
 AT = datetime.datetime(2024, 1, 1, 12, 0, 0, 123456)
 
@@ -86,3 +86,14 @@ def test_posts(spark, tmp_path):
     land(spark, tmp_path, [("ch", 7, "A [link](http://x) of the day")])
     p = landed.posts(landed.read(spark, str(tmp_path)))
     assert p.columns == ["channel", "post_id", "text", "at"] and p.where(F.col("post_id") == 7).count() == 1
+
+
+def test_fuel_imports(spark):
+    row = '{"destination_iso2": "%s", "commodity_group": "%s", "commodity_group_name": %s, "value_eur": %s, "value_tonne": %s}'
+    bare = "[" + ", ".join([row % ("cn", "oil", '"Oil"', 5.125, 1), row % ("CN", "gas", "null", '"7"', "null"), row % ("EU27", "oil", '"Oil"', 9, 9), row % ("in", "coal", '""', 0, 0)]) + "]"
+    wrapped = '{"data": [' + row % ("de", "coal", '""', 12.125, 2) + ", " + row % ("in", "lng", '"LNG"', "null", 3) + "], \"page\": 1}"
+    df = spark.createDataFrame([(b,) for b in (bare, wrapped, "", "{}", "oops", None)], "body string")
+    got = {r.country_code: r for r in feeds.fuel_imports(df, "body").collect()}
+    assert {k: (r.total_eur, r.total_tonne, r.world_rank) for k, r in got.items()} == {"CN": (12.125, 1.0, 1), "DE": (12.125, 2.0, 2), "IN": (0.0, 3.0, 3)}
+    assert [(c.group, c.name) for c in got["CN"].commodities] == [("gas", "gas"), ("oil", "Oil")] and got["DE"].commodities[0].name == "coal"
+    assert feeds.fuel_imports(df.where("false"), "body").count() == 0
