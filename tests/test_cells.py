@@ -76,3 +76,16 @@ def test_reprints_of_many_copies_write_no_pairs(spark):
         else:
             roots.append((i, title, at))
     assert got == want and len(roots) > 6
+
+
+@pytest.mark.parametrize("above", [0.25, 0.5, 0.6, 0.85])
+def test_trigram_join_in_small_chunks_equals_all_pairs(spark, monkeypatch, above):
+    monkeypatch.setattr(cells, "CELL", 17)
+    monkeypatch.setattr(similarity, "PART", 2)
+    rows = [(i, t, [None, "a", "b"][i % 3], i % 5) for i, t in enumerate(texts(8, 150))]
+    df = spark.createDataFrame(rows, "id long, t string, part string, s long")
+    got = similarity.trigram_join(df, "id", "t", above, ["part"], similarity.F.col("a.s") <= similarity.F.col("b.s"), ["s"])
+    want = {(a[0], b[0]): jaccard(grams(a[1]), grams(b[1])) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[3] <= b[3]}
+    want = {k: v for k, v in want.items() if v > above}
+    got = [(r.id_1, r.id_2, r.sim) for r in got.collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items()) and len(got) > 5
