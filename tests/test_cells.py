@@ -89,3 +89,26 @@ def test_trigram_join_in_small_chunks_equals_all_pairs(spark, monkeypatch, above
     want = {k: v for k, v in want.items() if v > above}
     got = [(r.id_1, r.id_2, r.sim) for r in got.collect()]
     assert sorted(got) == sorted((*k, v) for k, v in want.items()) and len(got) > 5
+
+
+def unit(seed, n, dims=6):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(7)]
+    return [[c + rng.gauss(0, 0.35) for c in centres[i % 7]] for i in range(n)]
+
+
+def cos(a, b):
+    return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+
+def test_cosine_join_in_small_chunks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 13)
+    rows = [(i, i % 3, v) for i, v in enumerate(unit(4, 90))] + [(90, None, [1.0] * 6), (91, 0, None), (92, 0, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, part long, v array<double>")
+    full = [r for r in rows[:90]]
+    for above in (0.25, 0.8):
+        out = similarity.cosine_join(df, "id", "v", above, ["part"])
+        assert "aggregate(" not in out._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroups")[0]  # pairs are not compared row by row
+        got = sorted((r.id_1, r.id_2, round(r.cos, 9)) for r in out.collect())
+        assert got == sorted((a[0], b[0], round(cos(a[2], b[2]), 9)) for a in full for b in full if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) > above)
+        assert "FlatMapCoGroups" in out._jdf.queryExecution().executedPlan().toString()
