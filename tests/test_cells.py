@@ -112,3 +112,20 @@ def test_cosine_join_in_small_chunks_equals_all_pairs(spark, monkeypatch):
         got = sorted((r.id_1, r.id_2, round(r.cos, 9)) for r in out.collect())
         assert got == sorted((a[0], b[0], round(cos(a[2], b[2]), 9)) for a in full for b in full if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) > above)
         assert "FlatMapCoGroups" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retrospective_of_many_copies_writes_no_pairs_of_copies(spark):
+    kinds = ["one two three four five six seven", "two three four five six seven eight", "three four five six seven eight nine", "apart from all of these"]
+    rows = [(i, kinds[(i * 7 + i // 9) % 4], (i * 37) % 400, "c") for i in range(800)]
+    df = spark.createDataFrame(rows, "article_id long, title string, at_s long, country_code string")
+    before = written(spark, "pairs")
+    got = {r.article_id: r.parent_id for r in dedup.retrospective(df, above=0.6).collect()}
+    assert written(spark, "pairs") - before <= 3
+    roots, want = [], {}
+    for i, title, at, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        found = [k for k, t in roots if jaccard(grams(title), grams(t)) > 0.6]
+        if found:
+            want[i] = found[0]
+        else:
+            roots.append((i, title))
+    assert got == want and len(roots) > 1
