@@ -129,3 +129,11 @@ def test_retrospective_of_many_copies_writes_no_pairs_of_copies(spark):
         else:
             roots.append((i, title))
     assert got == want and len(roots) > 1
+
+
+def test_cosine_join_without_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 20)
+    rows = list(enumerate(unit(9, 100)))
+    out = similarity.cosine_join(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.71)
+    assert "FlatMapCoGroups" in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id_1, r.id_2) for r in out.collect()} == {(a, b) for a, x in rows for b, y in rows if a < b and cos(x, y) > 0.71}
