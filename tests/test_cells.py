@@ -137,3 +137,11 @@ def test_cosine_join_without_blocks_equals_all_pairs(spark, monkeypatch):
     out = similarity.cosine_join(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 0.71)
     assert "FlatMapCoGroups" in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.id_1, r.id_2) for r in out.collect()} == {(a, b) for a, x in rows for b, y in rows if a < b and cos(x, y) > 0.71}
+
+
+def test_copies_are_compared_as_one(spark):
+    rows = [(i, ["a minister came to the town", "a minister went to the town", "Talks!"][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    before = written(spark, "class-pairs")
+    assert similarity.trigram_join(df, "id", "t", 0.6).count() == 3 * 200 * 199 // 2 + 200 * 200
+    assert written(spark, "class-pairs") == before + 1
