@@ -145,3 +145,18 @@ def test_copies_are_compared_as_one(spark):
     before = written(spark, "class-pairs")
     assert similarity.trigram_join(df, "id", "t", 0.6).count() == 3 * 200 * 199 // 2 + 200 * 200
     assert written(spark, "class-pairs") == before + 1
+
+
+def test_audience_pairs_are_found_from_the_top(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 25)
+    rows = [(i, t, "s", str(i % 2), i * 7919 % 900000, (i % 61 - 30) / 10) for i, t in enumerate(texts(12, 160))]
+    df = spark.createDataFrame(rows, "article_id long, title string, source string, lang string, at_s long, sentiment double")
+    want = [(jaccard(grams(a[1]), grams(b[1])), a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3] and abs(a[4] - b[4]) < 172800 and abs(a[5] - b[5]) >= 1]
+    want = sorted((-round(s + 1e-9, 4), a, b) for s, a, b in want if s > 0.3)
+    tried = []
+    plain = crowd.class_pairs
+    monkeypatch.setattr(crowd, "class_pairs", lambda c, above: (tried.append(above), plain(c, above))[1])
+    for most in (3, 40, len(want) + 5):
+        tried.clear()
+        assert [(-r.sim, r.id_1, r.id_2) for r in crowd.audience_pairs(df, most=most).collect()] == want[:most]
+        assert (0.3 in tried) == (-want[: most][-1][0] <= 0.6 or most > len(want))
