@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine_join, trigram_join
+from ..functions.similarity import cosine_between, cosine_join, cosine_links, trigram_classes, trigram_join, trigram_links
 from ..functions.text import blacklisted, normalize_event_key
 from .graph import connected_components, materialize
 
@@ -96,10 +96,11 @@ def cluster(articles: DataFrame, auto: float = 0.82, judge=None, maybe: float =
     if n.e <= embedded_share * n.n:
         return _by_key(x.where("key IS NOT NULL"), text_above).select("article_id", "cluster")
     near = x.where("embedding IS NOT NULL")
-    pairs = cosine_join(near, "article_id", "embedding", maybe if judge else auto, ["country_code"])
-    sure = pairs.where(F.col("cos") >= auto)
-    if judge:
-        sure = sure.unionByName(judge(pairs.where(F.col("cos") < auto)))
+    sure = materialize(cosine_links(near, "article_id", "embedding", auto, ["country_code"]), "sure")
+    if judge:  # pairs in doubt matter between parts alone
+        parts = _united(near.select("article_id"), sure, "article_id").select("article_id", F.col("cluster").alias("_part"))
+        doubt = cosine_between(near.join(parts, "article_id"), "article_id", "embedding", maybe, ["country_code"])
+        sure = sure.unionByName(judge(doubt.where(F.col("cos") < auto)).select("id_1", "id_2"))
     near = materialize(_united(near.drop("embedding"), sure, "article_id"), "near")
     if n.e == n.n:
         return near.select("article_id", "cluster")
@@ -125,7 +126,9 @@ def _by_key(rows: DataFrame, above: float) -> DataFrame:
     keys = materialize(keys.withColumn("form", normalize_event_key(F.col("key"))), "keys")
     heads = keys.groupBy("country_code", "form").agg(F.min("first").alias("head"))
     same = keys.join(heads, ["country_code", "form"]).where("first <> head").select(F.col("head").alias("id_1"), F.col("first").alias("id_2"))
-    alike = trigram_join(keys, "first", "key", above, ["country_code"]).select("id_1", "id_2")
+    members, classes = trigram_classes(keys, "first", "key", ["country_code"])
+    members = members.where("first <> rep").select(F.col("rep").alias("id_1"), F.col("first").alias("id_2"))
+    alike = trigram_links(classes, above).union(members)
     return rows.select("article_id", "country_code", "key").join(_united(keys, same.union(alike), "first").select("country_code", "key", "cluster"), ["country_code", "key"])
 
 

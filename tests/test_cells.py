@@ -160,3 +160,27 @@ def test_audience_pairs_are_found_from_the_top(spark, monkeypatch):
         tried.clear()
         assert [(-r.sim, r.id_1, r.id_2) for r in crowd.audience_pairs(df, most=most).collect()] == want[:most]
         assert (0.3 in tried) == (-want[: most][-1][0] <= 0.6 or most > len(want))
+
+
+def test_cosine_links_connect_what_all_pairs_do_and_are_few(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 40)
+    rows = [(i, i % 2, v) for i, v in enumerate(unit(2, 300))]
+    df = spark.createDataFrame(rows, "id long, part long, v array<double>")
+    ids = range(300)
+    links = similarity.cosine_links(df, "id", "v", 0.9, ["part"])
+    sure = groups(ids, [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and cos(a[2], b[2]) >= 0.9])
+    assert component_of(spark, ids, links) == sure and len(set(sure.values())) > 14
+    parts = spark.createDataFrame(sorted(sure.items()), "id long, _part long")
+    doubt = {(r.id_1, r.id_2) for r in similarity.cosine_between(df.join(parts, "id"), "id", "v", 0.7, ["part"]).collect()}
+    assert doubt == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and sure[a[0]] != sure[b[0]] and cos(a[2], b[2]) > 0.7}
+    near = spark.createDataFrame([(i, [1.0, i / 1e4]) for i in range(200)], "id long, v array<double>")
+    assert similarity.cosine_links(near, "id", "v", 0.9).count() < 2000  # of 19900 pairs
+
+
+def test_clusters_with_a_judge_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 30)
+    rows = [(i, str(i % 2), None, v) for i, v in enumerate(unit(6, 150))]
+    df = spark.createDataFrame(rows, "article_id long, country_code string, event_key string, embedding array<double>")
+    got = {r.article_id: r.cluster for r in threads.cluster(df, auto=0.93, maybe=0.8, judge=lambda p: p.where("(id_1 + id_2) % 3 = 0")).collect()}
+    pairs = [(a[0], b[0], cos(a[3], b[3])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]]
+    assert got == groups(range(150), [(a, b) for a, b, c in pairs if c >= 0.93 or (c > 0.8 and (a + b) % 3 == 0)])
