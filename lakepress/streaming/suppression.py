@@ -16,15 +16,26 @@ OUT = "dedup_key string, at_s long, expires_s long"
 class Suppressor(StatefulProcessor):
     """Per key: the time its last emission's silence ends, and the signals that the watermark has not passed.
 
-    A signal waits in a map of time to time to live until the watermark passes it, so signals that come out of order by less than the
-    watermark's delay are judged in order. Each waiting time has a timer, and so has the end of a silence, at which a
-    key without waiting signals is forgotten: state holds live keys alone.
+    A signal waits in a list until the watermark passes it, so signals that come out of order by less than the
+    watermark's delay are judged in order. The first waiting time has a timer, and so has the end of a silence, at which a
+    key without waiting signals is forgotten: state holds live keys alone. A timer judges all that is due and sets the
+    next one, so a key's list is read once for a batch, however many signals it has.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.silent = handle.getValueState("silent", "until_s long")
-        self.waiting = handle.getMapState("waiting", "at_s long", "ttl_s long")
+        self.waiting = handle.getListState("waiting", "at_s long, ttl_s long")
+        self.next = handle.getValueState("next", "at_s long")
+
+    def wake(self, at: int) -> None:
+        """The timer of the first waiting time, the only one for what waits."""
+        if self.next.exists():
+            if self.next.get()[0] <= at:
+                return
+            self.handle.deleteTimer(self.next.get()[0] * 1000)
+        self.next.update((at,))
+        self.handle.registerTimer(at * 1000)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         until = int(initialState["until_s"].max())
@@ -34,30 +45,41 @@ class Suppressor(StatefulProcessor):
         self.handle.registerTimer(until * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for p in rows:
-            for at, ttl in p.groupby("at_s")["ttl_s"].max().items():
-                k = (int(at),)
-                held = self.waiting.getValue(k)[0] if self.waiting.containsKey(k) else 0
-                self.waiting.updateValue(k, (max(int(ttl), held),))
-                self.handle.registerTimer(int(at) * 1000)
+            new = p.groupby("at_s")["ttl_s"].max()
+            self.waiting.appendList([(int(at), int(ttl)) for at, ttl in new.items()])
+            first = min(int(new.index[0]), int(new.index[0]) if first is None else first)
+        if first is not None:
+            self.wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        due = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= now)
         until = self.silent.get()[0] if self.silent.exists() else None
+        waits = not self.next.exists() or self.next.get()[0] <= now
+        held = sorted((r[0], r[1]) for r in self.waiting.get()) if waits and self.waiting.exists() else []
         out = []
-        for at, ttl in due:
-            self.waiting.removeKey((at,))
+        for i, (at, ttl) in enumerate(held):
+            if at > now or (i + 1 < len(held) and held[i + 1][0] == at):  # of one second the longest stands
+                continue
             if until is None or at >= until:
                 until = at + ttl
                 out.append((key[0], at, until))
+        later = [x for x in held if x[0] > now]
+        if waits and held:
+            self.next.clear()
+            if later:
+                self.waiting.put(later)
+                self.wake(later[0][0])
+            else:
+                self.waiting.clear()
         if out:
             self.silent.update((until,))
             if until > now:
                 self.handle.registerTimer(until * 1000)
         # the silence is over for every signal that may still come
-        if until is not None and until <= now and not any(True for _ in self.waiting.keys()):
+        if until is not None and until <= now and not self.next.exists():
             self.silent.clear()
         return iter([pd.DataFrame(out, columns=["dedup_key", "at_s", "expires_s"])] if out else ())
 
