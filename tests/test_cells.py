@@ -184,3 +184,14 @@ def test_clusters_with_a_judge_equal_all_pairs(spark, monkeypatch):
     got = {r.article_id: r.cluster for r in threads.cluster(df, auto=0.93, maybe=0.8, judge=lambda p: p.where("(id_1 + id_2) % 3 = 0")).collect()}
     pairs = [(a[0], b[0], cos(a[3], b[3])) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]]
     assert got == groups(range(150), [(a, b) for a, b, c in pairs if c >= 0.93 or (c > 0.8 and (a + b) % 3 == 0)])
+
+
+@pytest.mark.parametrize("above, cell", [(0.25, 11), (0.3, 60), (0.7, 23)])
+def test_trigram_links_connect_what_all_pairs_do(spark, monkeypatch, above, cell):
+    monkeypatch.setattr(cells, "CELL", cell)
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(dict.fromkeys(texts(5, 200)))] + [(900, "q", "a"), (901, "zz zz", "b")]
+    _, classes = similarity.trigram_classes(spark.createDataFrame(rows, "id long, t string, part string"), "id", "t", ["part"])
+    reps = {r.rep for r in classes.collect()}
+    links = similarity.trigram_links(classes, above)
+    want = groups(reps, [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and {a[0], b[0]} <= reps and a[2] == b[2] and jaccard(grams(a[1]), grams(b[1])) > above])
+    assert component_of(spark, reps, links) == want and links.count() < 4000
